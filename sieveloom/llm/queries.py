@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveloom.llm import format_copies, percentiles, top_items
+from sieveloom.llm import encode, format_copies, garbled, packing, percentiles, top_items
 from sieveloom.sources.tables import table
 
 QUERIES: dict = {}
@@ -117,3 +117,56 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 def p6_collapsed(spark: SparkSession, d: str) -> DataFrame:
     cases = table(spark, d, "eval_cases").select("record_id", "id", "query", "expected", "metadata_json")
     return format_copies.collapsed(cases, format_copies.canonical_case(cases))
+
+
+# 7: the corpus as ids of a public vocabulary
+
+
+@register("p7_ids")
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode.encode(table(spark, d, "documents"))
+
+
+@register("p7_round_trip", "select doc_id, text is null as absent, true as same from documents")
+def p7_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the ids of every text give the text back."""
+    documents = table(spark, d, "documents").select("doc_id", "text")
+    decoded = encode.encode(documents).select("doc_id", encode.decode(F.col("ids")).alias("decoded"))
+    joined = documents.join(decoded, "doc_id")
+    return joined.select("doc_id", F.col("text").isNull().alias("absent"), (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("same"))
+
+
+# 8: fixed-capacity containers
+
+CAPACITY, TIERS = 2048, (256, 1024)
+
+
+def _containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(encode.token_counts(table(spark, d, "documents")), CAPACITY, tiers=TIERS)
+
+
+@register("p8_containers")
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return _containers(spark, d)
+
+
+@register("p8_step_groups")
+def p8_step_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Containers, use of their room and cost by step group."""
+    packed = _containers(spark, d).where("container is not null")
+    return packed.groupBy("step_group").agg(
+        F.countDistinct("container").alias("containers"), (F.sum("length") / (F.countDistinct("container") * CAPACITY)).alias("used"), F.sum(F.col("length") * F.col("length")).alias("cost")
+    )
+
+
+# 9: garbled text
+
+
+@register("p9_found")
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return garbled.garbled(table(spark, d, "documents")).select("doc_id")
+
+
+@register("p9_restored")
+def p9_restored(spark: SparkSession, d: str) -> DataFrame:
+    return garbled.garbled(table(spark, d, "documents"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveloom.llm import encode, format_copies, garbled, packing, percentiles, top_items
+from sieveloom.plans.runtime import checkpoint
 from sieveloom.sources.tables import table
 
 QUERIES: dict = {}
@@ -30,16 +31,19 @@ PERCENTILES = [0.01, 0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
 
 @register("p2_percentiles")
 def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    sketches = percentiles.sketch(table(spark, d, "metric_rows"), METRIC_GROUP, "metric_value")
-    return percentiles.percentiles(sketches, METRIC_GROUP, PERCENTILES)
+    """By day, and over all days (day is null) from the sketches of the days."""
+    rows = table(spark, d, "metric_rows").withColumn("day", F.to_date("event_time"))
+    daily = checkpoint(percentiles.sketch(rows, ["day", *METRIC_GROUP], "metric_value"))
+    days = percentiles.percentiles(daily.where("day is not null"), ["day", *METRIC_GROUP], PERCENTILES)
+    whole = percentiles.percentiles(percentiles.combine(daily, METRIC_GROUP), METRIC_GROUP, PERCENTILES)
+    return days.unionByName(whole, allowMissingColumns=True)
 
 
-@register("p2_daily_combined")
-def p2_daily_combined(spark: SparkSession, d: str) -> DataFrame:
-    """Days are sketched apart and combined afterwards."""
-    rows = table(spark, d, "metric_rows").withColumn("day", F.to_date("event_time"))
-    daily = percentiles.sketch(rows, ["day", *METRIC_GROUP], "metric_value")
-    return percentiles.percentiles(percentiles.combine(daily, METRIC_GROUP), METRIC_GROUP, PERCENTILES)
+@register("p2_overall")
+def p2_overall(spark: SparkSession, d: str) -> DataFrame:
+    """Over all rows at once."""
+    sketches = percentiles.sketch(table(spark, d, "metric_rows"), METRIC_GROUP, "metric_value")
+    return percentiles.percentiles(sketches, METRIC_GROUP, PERCENTILES)
 
 
 @register(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveloom.llm import encode, format_copies, garbled, packing, percentiles, top_items
+from sieveloom.llm import encode, format_copies, garbled, handwritten, packing, percentiles, top_items
 from sieveloom.plans.runtime import checkpoint
 from sieveloom.sources.tables import table
 
@@ -97,6 +97,23 @@ def p4_best_hits(spark: SparkSession, d: str) -> DataFrame:
     return top_items.best_hits(table(spark, d, "search_requests"), table(spark, d, "search_items"))
 
 
+# 5: files that nobody wrote by hand
+
+
+@register("p5_found")
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.not_handwritten(table(spark, d, "code_items"), table(spark, d, "library_files")).select("item_id")
+
+
+@register("p5_own_source")
+def p5_own_source(spark: SparkSession, d: str) -> DataFrame:
+    """What remains as a project's own source, by language."""
+    files = table(spark, d, "code_items")
+    others = handwritten.not_handwritten(files, table(spark, d, "library_files"))
+    marked = files.join(others, "item_id", "left")
+    return marked.groupBy("code_language", F.coalesce("kind", F.lit("own")).alias("kind")).agg(F.count(F.lit(1)).alias("files"), F.sum(F.length("content")).alias("characters"))
+
+
 # 6: duplicates hidden by formatting
 
 CANONICAL_CASES = r"""

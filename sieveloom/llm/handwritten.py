@@ -139,21 +139,28 @@ def _kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), pa.array([k for k in found if k is not None], pa.string())], names=["item_id", "kind"])
 
 
-def _shingles(content: Column) -> Column:
-    """The distinct hashes of five consecutive words; a shorter text is one shingle, a text without words has none."""
-    words = F.regexp_extract_all(content, F.lit(r"(\w+)"), 1)
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - (SHINGLE_WORDS - 1)))
-    return F.when(F.size(words) > 0, F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i, SHINGLE_WORDS), " ")))))
+def _shingles(files: DataFrame, key: str, size: str) -> DataFrame:
+    """``key``, ``size`` and a row for each distinct hash of five consecutive words of content.
+
+    A shorter text is one shingle; a text without words has none.
+    """
+
+    def of(words: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - (SHINGLE_WORDS - 1)))
+        return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, SHINGLE_WORDS))))
+
+    # One-element arrays bind a value to a name: an expression named in a lambda function is else computed for every element.
+    hashed = F.transform(F.array(F.regexp_extract_all("content", F.lit(r"(\w+)"), 1)), of)
+    sized = F.transform(hashed, lambda all_: F.transform(all_, lambda h: F.struct(F.size(all_).alias(size), h.alias("_shingle"))))
+    return files.where("content rlike '\\\\w'").select(key, F.inline(sized[0]))
 
 
 def library_copies(files: DataFrame, library: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """item_id of files that share at least ``similarity`` (Jaccard) of their five-word shingles with a library file."""
-    reference = library.where("content is not null").select("library_file_id", _shingles(F.col("content")).alias("s")).where("size(s) > 0")
-    reference = reference.select("library_file_id", F.size("s").alias("_lib"), F.explode("s").alias("_shingle"))
+    reference = _shingles(library, "library_file_id", "_lib")
     if reference.count() <= BROADCAST_SHINGLES:
         reference = F.broadcast(reference)
-    own = files.where("content is not null").select("item_id", _shingles(F.col("content")).alias("s")).where("size(s) > 0")
-    own = spread(own).select("item_id", F.size("s").alias("_own"), F.explode("s").alias("_shingle"))
+    own = _shingles(spread(files.select("item_id", "content")), "item_id", "_own")
     shared = own.join(reference, "_shingle").groupBy("item_id", "library_file_id", "_own", "_lib").agg(F.count(F.lit(1)).alias("_both"))
     return shared.where(F.col("_both") >= similarity * (F.col("_own") + F.col("_lib") - F.col("_both"))).select("item_id").distinct()
 

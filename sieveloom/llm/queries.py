@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveloom.llm import encode, format_copies, garbled, handwritten, packing, percentiles, top_items
+from sieveloom.llm import defects, encode, format_copies, garbled, handwritten, packing, percentiles, top_items
 from sieveloom.plans.runtime import checkpoint
 from sieveloom.sources.tables import table
 
@@ -76,6 +76,14 @@ def p2_within_bound(spark: SparkSession, d: str) -> DataFrame:
     return counted.select(*METRIC_GROUP, "n", "n_null", "n_nan", "p", within.alias("within"))
 
 
+# 3: broken prompt and response pairs
+
+
+@register("p3_found")
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return defects.defects(table(spark, d, "answer_outcomes"))
+
+
 # 4: top N items within every group
 
 TOP_HITS = """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveloom.llm import defects, encode, format_copies, garbled, handwritten, packing, percentiles, top_items
+from sieveloom.llm import defects, encode, format_copies, garbled, handwritten, overlap, packing, percentiles, top_items
 from sieveloom.plans.runtime import checkpoint
 from sieveloom.sources.tables import table
 
@@ -23,6 +23,24 @@ def register(name: str, sql: str | None = None):
     return keep
 
 
+# 1: the same records across splits
+
+
+def _all_cases(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.records(table(spark, d, "eval_cases"), "query").unionByName(overlap.records(table(spark, d, "answer_cases"), "question"))
+
+
+@register("p1_found")
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = overlap.overlaps(_all_cases(spark, d))
+    return pairs.select(F.least("held_out_id", "train_id").alias("record_a"), F.greatest("held_out_id", "train_id").alias("record_b"))
+
+
+@register("p1_by_split_and_source")
+def p1_by_split_and_source(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.by_split_and_source(_all_cases(spark, d))
+
+
 # 2: percentiles of large numeric columns
 
 METRIC_GROUP = ["strategy", "suite", "metric_name"]

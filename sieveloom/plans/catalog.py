@@ -1,6 +1,8 @@
-"""The registered queries of the core operators and their SQL."""
+"""All registered queries of the core operators."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from sieveloom.plans import evaluation_queries, lexical_queries  # noqa: F401
+from sieveloom.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]

@@ -53,6 +53,13 @@ def symbol_edges(files: DataFrame, most: int = 24) -> DataFrame:
     return ranked(found, ["src"], [F.col("dst")], most).select("src", "dst", F.lit("references").alias("kind"), F.lit(0.7).alias("weight"))
 
 
+def together_edges(cases: DataFrame, most: int = 64) -> DataFrame:
+    """src, dst, kind, weight from every file that a case expects to the one named after it; patterns are left out."""
+    pairs = cases.where("size(expected) > 1").select(F.arrays_zip(F.slice("expected", F.lit(1), F.size("expected") - 1).alias("a"), F.slice("expected", F.lit(2), F.size("expected") - 1).alias("b")).alias("z"))
+    found = pairs.select(F.inline("z")).toDF("src", "dst").where("src != dst and src not like 'glob:%' and dst not like 'glob:%'").distinct()
+    return ranked(found, ["src"], [F.col("dst")], most).select("src", "dst", F.lit("summarizes").alias("kind"), F.lit(EDGE_WEIGHTS["summarizes"]).alias("weight"))
+
+
 def all_edges(*kinds: DataFrame) -> DataFrame:
     """The edges of several builders; one of each source, target and kind."""
     united = kinds[0]

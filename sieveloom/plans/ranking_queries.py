@@ -304,14 +304,16 @@ EDGES_SQL = r"""
     named as (select distinct path as src, unnest(regexp_extract_all(content, '\b([A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+)\b', 1)) as title from code_items),
     y as (select *, row_number() over (partition by src order by dst) as rn from (select distinct src, path as dst from named join code_items using (title) where src <> path)),
     imports as (select src, dst, 'imports' as kind, 0.8 as weight from e where rn <= 64),
-    edges as (select * from imports union all select src, dst, 'references' as kind, 0.7 as weight from y where rn <= 24),
+    pairs as (select distinct unnest(expected[:-2]) as src, unnest(expected[2:]) as dst from eval_cases where len(expected) > 1),
+    t as (select *, row_number() over (partition by src order by dst) as rn from pairs where src <> dst and src not like 'glob:%' and dst not like 'glob:%'),
+    edges as (select * from imports union all select src, dst, 'references' as kind, 0.7 as weight from y where rn <= 24 union all select src, dst, 'summarizes', 0.7 from t where rn <= 64),
     adj as (select src, dst, max(w) as weight from (select src, dst, weight as w from edges union all select dst, src, weight * 0.7 from edges) group by all)
 """
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
     files = items(spark, d)
-    return graph.all_edges(graph.import_edges(files), graph.symbol_edges(files))
+    return graph.all_edges(graph.import_edges(files), graph.symbol_edges(files), graph.together_edges(table(spark, d, "eval_cases")))
 
 
 @register("import_edges", EDGES_SQL + "select src, dst, kind, weight from imports")
@@ -347,13 +349,14 @@ def fan_in(spark: SparkSession, d: str) -> DataFrame:
 
 
 SEEDS = """
-    , s0 as (select request_id as query_id, path, max(round(score::double, 6)) as score from search_items where score is not null and not isnan(score) and score > 0 and path is not null group by all),
+    , s0 as (select request_id as query_id, path, max(score::double * 0.973511) as score from search_items where score is not null and not isnan(score) and score > 0 and path is not null group by all),
     seeds as (select query_id, path, score from (select *, row_number() over (partition by query_id order by score desc, path) as n from s0) where n <= 5)
 """
 
 
 def seeds(spark: SparkSession, d: str) -> DataFrame:
-    best = candidates(spark, d).where("vector > 0").groupBy("query_id", "path").agg(F.max("vector").alias("score"))
+    hits = table(spark, d, "search_items").where("score > 0 and not isnan(score) and path is not null")
+    best = hits.groupBy(F.col("request_id").alias("query_id"), "path").agg(F.max(F.col("score").cast("double") * 0.973511).alias("score"))
     return ranked(best, ["query_id"], [F.col("score").desc(), F.col("path")], 5, "_n").drop("_n")
 
 
@@ -394,7 +397,7 @@ def expand_hops(spark: SparkSession, d: str) -> DataFrame:
     select query_id, path, neighbour, round(weight, 6) as weight, rank from r where rank <= 3""",
 )
 def typed_neighbors(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(graph.typed_neighbours(edges(spark, d), seeds(spark, d), {"imports": 1.0, "references": 0.9}, {"imports": 0.5, "references": 0.4}, 3))
+    return rounded(graph.typed_neighbours(edges(spark, d), seeds(spark, d), {"imports": 1.0, "references": 0.9, "summarizes": 0.9}, {"imports": 0.5, "references": 0.4, "summarizes": 0.4}, 3))
 
 
 SPANS = "s as (select distinct hit_id, path, start_line, end_line from search_items where request_id % 20 = 0 and path is not null and start_line is not null and end_line is not null)"

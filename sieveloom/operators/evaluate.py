@@ -71,15 +71,6 @@ def case_metrics(cases: DataFrame, limit: int = 10) -> DataFrame:
     )
 
 
-def nearest_percentile(value: Column, q: float) -> Column:
-    """The value at index round((n - 1) q) of the sorted values, halves to even; exact, over one group's values.
-
-    Use it on groups of bounded size; percentiles of very large groups have an operator of their own.
-    """
-    ordered = F.sort_array(F.collect_list(value))
-    return F.element_at(ordered, (F.bround((F.size(ordered) - 1) * q).cast("int") + 1))
-
-
 def interval(name: str, value: Column, binary: bool, unit: bool = True) -> list[Column]:
     """Mean, standard error and 95 % interval of a metric: Wilson for yes/no, else normal, clamped to 0..1 if a rate."""
     n, mean = F.count(value), F.avg(value.cast("double"))

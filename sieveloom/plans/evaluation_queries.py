@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveloom.functions import text as t
-from sieveloom.operators import evaluate
+from sieveloom.operators import evaluate, positions
 from sieveloom.plans.registry import register, rounded
 from sieveloom.plans.runtime import spread
 from sieveloom.sources.tables import table
@@ -114,12 +114,10 @@ def paired_compare(spark: SparkSession, d: str) -> DataFrame:
 @register(
     "percentile_nearest",
     "with s as (select generation_model, list_sort(list(generation_duration_ms)) as v from answer_outcomes where generation_duration_ms is not null group by all) "
-    "select generation_model, v[(round_even((len(v) - 1) * 0.95, 0))::int + 1] as p95, v[(round_even((len(v) - 1) * 0.5, 0))::int + 1] as p50 from s",
+    "select generation_model, p::double as p, v[(round_even((len(v) - 1) * p, 0))::int + 1] as value from s, (values (0.5), (0.95)) q(p)",
 )
 def percentile_nearest(spark: SparkSession, d: str) -> DataFrame:
-    value = F.col("generation_duration_ms")
-    outcomes = table(spark, d, "answer_outcomes").where(value.isNotNull())
-    return outcomes.groupBy("generation_model").agg(evaluate.nearest_percentile(value, 0.95).alias("p95"), evaluate.nearest_percentile(value, 0.5).alias("p50"))
+    return positions.nearest_percentiles(table(spark, d, "answer_outcomes"), ["generation_model"], "generation_duration_ms", [0.5, 0.95])
 
 
 @register(

@@ -30,7 +30,8 @@ HOT_ROWS = 50_000
 
 def letters_and_digits(text: Column) -> Column:
     """The letters and digits of a text without regard to case; null counts as empty."""
-    return F.regexp_replace(F.lower(F.upper(F.coalesce(text, F.lit("")))), r"[^\p{L}\p{N}]", "")
+    folded = F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("ß"), F.lit("ss"))  # upper case writes ß as SS
+    return F.regexp_replace(folded, r"[^\p{L}\p{N}]", "")
 
 
 def canonical_json(text: Column) -> Column:
@@ -106,14 +107,14 @@ def _bits(canonical: Column, slices: int) -> list[Column]:
     ]
 
 
-def possible_repeats(records: DataFrame, canonical: Column, max_bits: int = MAX_BITS) -> DataFrame:
-    """``records`` with the columns _canonical and _repeat, false for those that surely occur once."""
+def possible_repeats(records: DataFrame, canonical: Column, key: str, max_bits: int = MAX_BITS) -> DataFrame:
+    """``key``, _canonical and _repeat of ``records``; _repeat is false for those that surely occur once."""
     rows = records.count()
     bits = min(max_bits, max(SLICE_BITS, rows * BITS_PER_RECORD))
     slices = -(-bits // SLICE_BITS)
     local = records.select(*_bits(canonical, slices)).mapInArrow(_local_filters, "slice int, filters binary")
     merged = local.repartition("slice").sortWithinPartitions("slice").mapInArrow(_merge_filters, "slice int, words array<bigint>")
-    marked = records.withColumn("_canonical", canonical)
+    marked = records.select(key, canonical.alias("_canonical"))
     marked = marked.select("*", *_bits(F.col("_canonical"), slices))
 
     def bit(position: str) -> Column:
@@ -133,7 +134,7 @@ def copies(records: DataFrame, canonical: Column, key: str = "record_id", max_bi
     ``key`` identifies a record and is not null; rows with the same key are one record. An empty input gives an empty
     result. Other columns don't matter.
     """
-    marked = possible_repeats(records, canonical, max_bits).where("_repeat")
+    marked = possible_repeats(records, canonical, key, max_bits).where("_repeat")
     candidates = marked.select(F.col(key), F.unhex(F.sha2("_canonical", 256)).alias("_exact")).distinct()
     groups = _groups(candidates, key)
     hot = F.broadcast(groups.where(F.col("copies") > HOT_ROWS).select("_exact", F.col("kept_id").alias("_hot_id")))
@@ -145,7 +146,7 @@ def copies(records: DataFrame, canonical: Column, key: str = "record_id", max_bi
 
 def collapsed(records: DataFrame, canonical: Column, key: str = "record_id", max_bits: int = MAX_BITS) -> DataFrame:
     """One row per record, the one with the smallest ``key`` of its copies, with the number of copies."""
-    marked = possible_repeats(records, canonical, max_bits)
+    marked = possible_repeats(records, canonical, key, max_bits)
     single = marked.where("not _repeat").select(F.col(key), F.lit(1).cast("long").alias("copies"))
     grouped = marked.where("_repeat").groupBy(F.unhex(F.sha2("_canonical", 256)).alias("_exact")).agg(F.min(key).alias(key), F.count(F.lit(1)).alias("copies"))
     return single.unionByName(grouped.select(key, "copies"))

@@ -110,6 +110,11 @@ def _evidence(text: str, start: int, end: int, meant: str) -> int:
     return known if kinds[0] == "sign" else 0
 
 
+def _within_latin(text: str, start: int, end: int, meant: str) -> bool:
+    """Whether a span stands for Western letters or signs beside an ASCII letter, where no Cyrillic belongs."""
+    return all(_kind(c) in ("latin", "mark", "sign") for c in meant) and any(c.isascii() and c.isalpha() for c in (text[start - 1 : start], text[end : end + 1]))
+
+
 def _repair_utf8(text: str) -> tuple[str, int, str]:
     """The text with the spans of the best legacy encoding decoded, the garbled characters found, the encoding."""
     best: tuple[int, str, list] = (0, "", [])
@@ -131,7 +136,7 @@ def _repair_utf8(text: str) -> tuple[str, int, str]:
         if 2 * covered < touched:
             continue
         # Cyrillic letters are lead bytes and continuation bytes of each other: chance spans are short and few.
-        if encoding in ("cp1251", "koi8-r", "cp866") and not (proven >= 3 and any(len(x[2]) >= 3 for x in found)):
+        if encoding in ("cp1251", "koi8-r", "cp866") and not (proven >= 3 and any(len(x[2]) >= 3 for x in found)) and 2 * sum(_within_latin(text, *x) for x in found) < len(found):
             continue
         if encoding in ("mac_roman", "cp437", "cp850") and any(_kind(c) == "cyrillic" for x in found for c in x[2]) and not any(len(x[2]) >= 3 for x in found):
             continue

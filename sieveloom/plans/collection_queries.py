@@ -167,7 +167,7 @@ _GATES = {"never": "false", "always": "true", "unsure": "confidence < 0.5", "slo
 @register(
     "gate_policy_sweep",
     CASES
-    + "  , judged as (select metrics.*, o.confidence from metrics join answer_outcomes o on o.outcome_id = case_id), "
+    + "  , judged as (select metrics.*, o.confidence from metrics join answer_outcomes o on o.outcome_id = metrics.case_id), "
     + ", ".join(f"g{i} as (select '{g}' as gate, avg(coalesce({c}, false)::int) as taken, avg(case when coalesce({c}, false) then file_rr else reciprocal_rank end) as mrr, avg((case when coalesce({c}, false) then file_rr else reciprocal_rank end >= 1)::int) as hit_1 from judged)" for i, (g, c) in enumerate(_GATES.items()))
     + " select gate, round(taken, 6) as taken, round(mrr, 6) as mrr, round(hit_1, 6) as hit_1 from ("
     + " union all ".join(f"select * from g{i}" for i in range(len(_GATES)))
@@ -254,6 +254,12 @@ def trace_counts(spark: SparkSession, d: str) -> DataFrame:
     return monitor.event_counts(table(spark, d, "events"))
 
 
+@register("stream_event_counts", "select event_type, count(*) as events, max(ts) as latest from events group by all")
+def stream_event_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The same state kept by a stream over the files, until it has read all that is there."""
+    return monitor.run_to_table(monitor.event_counts(monitor.read_table(spark, d, "events")), "complete")
+
+
 @register(
     "stage_latency",
     "select time_bucket(interval 1 hour, ts) as start, event_type, count(*) as events, round(avg(value), 6) as mean_value, round(max(value), 6) as max_value from events group by all",

@@ -47,18 +47,20 @@ def spread(df: DataFrame, per_core: int = 3) -> DataFrame:
     return df.repartition(per_core * wanted)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder the cluster names in spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir; a temporary one only where that is unset and the master is local (tests)."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.gettempdir()
+    return os.path.join(named, f"sieveloom-{uuid.uuid4().hex}")
 
-    Only where that setting is missing and the master is local (tests) a temporary folder stands in.
-    """
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the folder the cluster names in spark.checkpoint.dir."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            named = os.path.join(tempfile.gettempdir(), f"sieveloom-{uuid.uuid4().hex}")
-        context.setCheckpointDir(named)
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from sieveloom.plans.runtime import shared_folder
+from sieveloom.sources.tables import table
+
 TRACE = T.StructType([T.StructField("timestamp", T.TimestampType()), T.StructField("event", T.StringType()), T.StructField("payload", T.StringType())])
 
 
@@ -15,6 +20,32 @@ def read_traces(spark: SparkSession, folder: str, files_per_trigger: int = 100)
     return spark.readStream.schema(TRACE).option("maxFilesPerTrigger", files_per_trigger).option("mode", "PERMISSIVE").json(folder).where("event is not null")
 
 
+def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
+    """A Parquet table (a file or a folder of part files) as a stream."""
+    schema = table(spark, directory, name).schema
+    reader = spark.readStream.schema(schema)
+    files = f"{directory}/{name}.parquet"
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(directory) if _is_file(spark, files) else reader.parquet(files)
+
+
+def _is_file(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isFile()
+
+
+def run_to_table(stream: DataFrame, mode: str) -> DataFrame:
+    """Run a stream over what is there now and return its result.
+
+    Only for results of bounded size, such as counts by kind: the sink keeps them in the driver.
+    """
+    spark = stream.sparkSession
+    name = f"sieveloom_{uuid.uuid4().hex}"
+    folder = shared_folder(spark)
+    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", folder).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.table(name)
+
+
 def event_counts(events: DataFrame, kind: str = "event_type", time: str = "ts") -> DataFrame:
     """Events and the latest time by kind; as a stream in complete mode this is the monitor's state."""
     return events.groupBy(kind).agg(F.count(F.lit(1)).alias("events"), F.max(time).alias("latest"))

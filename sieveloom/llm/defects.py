@@ -130,7 +130,7 @@ def defects(outcomes: DataFrame) -> DataFrame:
 
     answers = spread(outcomes.where("answer is not null").select("answer"))
     triples = answers.mapInArrow(_triples, "first string, second string, word string, ends bigint, goes_on bigint")
-    triples = triples.groupBy("first", "second", "word").agg(F.sum("ends").alias("ends"), F.sum("goes_on").alias("goes_on"))
+    triples = checkpoint(triples.groupBy("first", "second", "word").agg(F.sum("ends").alias("ends"), F.sum("goes_on").alias("goes_on")))
     tails = open_ends.select("first", "second", "last").distinct()
     same, longer = F.col("word") == F.col("last"), (F.col("word") != F.col("last")) & F.col("word").startswith(F.col("last"))
     looked_up = (

@@ -27,7 +27,7 @@ def line_array(content: Column) -> Column:
 
 def readable(files: DataFrame, max_bytes: int = 1_000_000) -> DataFrame:
     """Files that a scan reads: not blank, not too large, without NUL."""
-    return files.where(F.col("content").isNotNull() & (F.trim("content") != "") & (F.octet_length("content") <= max_bytes) & ~F.contains("content", F.lit("\0")))
+    return files.where(F.col("content").rlike(r"\S") & (F.octet_length("content") <= max_bytes) & ~F.contains("content", F.lit("\0")))
 
 
 def chunks(files: DataFrame, size: int = 220) -> DataFrame:
@@ -36,7 +36,7 @@ def chunks(files: DataFrame, size: int = 220) -> DataFrame:
     n = F.size("_lines")
     cut = lined.select("path", n.alias("_n"), F.explode(F.transform(F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int")), lambda i: F.struct((i * size + 1).alias("start_line"), F.least((i + 1) * size, n).alias("end_line"), F.array_join(F.slice("_lines", i * size + 1, F.lit(size)), "\n").alias("content")))).alias("c"))
     title = F.when(F.col("_n") <= size, F.col("path")).otherwise(F.concat("path", F.lit(":"), F.col("c.start_line").cast("string"), F.lit("-"), F.col("c.end_line").cast("string")))
-    return cut.where("trim(c.content) != ''").select(t.chunk_id(F.col("path"), F.col("c.start_line"), F.col("c.end_line")).alias("id"), "path", title.alias("title"), "c.content", "c.start_line", "c.end_line")
+    return cut.where(F.col("c.content").rlike(r"\S")).select(t.chunk_id(F.col("path"), F.col("c.start_line"), F.col("c.end_line")).alias("id"), "path", title.alias("title"), "c.content", "c.start_line", "c.end_line")
 
 
 def symbols(files: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from sieveloom.sources.tables import table
 from sieveloom.streaming import monitor
 
 LINES = r"string_split(regexp_replace(regexp_replace(content, '\r\n?', chr(10), 'g'), '\n$', ''), chr(10))"
-READ = "f as (select path, title, content, code_language, " + LINES + " as l from code_items where trim(coalesce(content, '')) <> '' and strlen(content) <= 1000000 and not contains(content, chr(0)))"
+READ = "f as (select path, title, content, code_language, " + LINES + " as l from code_items where regexp_matches(content, '\\S') and strlen(content) <= 1000000 and not contains(content, chr(0)))"
 
 
 @register(
@@ -25,7 +25,7 @@ READ = "f as (select path, title, content, code_language, " + LINES + " as l fro
     with {READ}, c as (select path, l, unnest(range(0, len(l), 20)) as s from f),
     k as (select path, len(l) as n, s + 1 as start_line, least(s + 20, len(l)) as end_line, array_to_string(l[s + 1:s + 20], chr(10)) as content from c)
     select path || '#' || substr(sha1(path || ':' || start_line || ':' || end_line), 1, 12) as id, path, case when n <= 20 then path else path || ':' || start_line || '-' || end_line end as title, content, start_line, end_line
-    from k where trim(content) <> ''""",
+    from k where regexp_matches(content, '\\S')""",
 )
 def line_chunks(spark: SparkSession, d: str) -> DataFrame:
     return ops.chunks(items(spark, d), 20)

@@ -33,7 +33,7 @@ def source_files(spark: SparkSession, root: str, suffixes: list[str] = SUFFIXES,
         else:
             files = files.where(~F.rlike(F.col("path"), glob_regex(F.lit(pattern))))
     text = F.make_valid_utf8(F.col("_bytes").cast("string"))
-    return files.select("path", text.alias("content")).where(~F.contains("content", F.lit("\0")) & (F.trim("content") != ""))
+    return files.select("path", text.alias("content")).where(~F.contains("content", F.lit("\0")) & F.col("content").rlike(r"\S"))
 
 
 def evaluation_cases(spark: SparkSession, path: str) -> DataFrame:

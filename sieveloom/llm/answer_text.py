@@ -10,13 +10,15 @@ PLACEHOLDERS = {"", "null", "none", "nil", "undefined", "n/a", "na", "n.a.", "na
 
 #: Function words by language (fixed values).
 FUNCTION_WORDS = {
-    "en": "the of and to in is are was that it for on with as by at from which this be or an not when how where what does do why who while into before after them its their if than every must also only again",
-    "de": "der die das und ist sind nicht ein eine einen einem zu den dem des von für mit auf im wie wird werden wenn sobald wo wer welche welcher oder aus bei über sich seine ihre durch kann müssen es um ohne dass zwar ebenso",
-    "fr": "le la les des du de un une et est sont où qui que quelle quel pourquoi dans pour par avec sur ne pas avant après lorsque dès si ou aux au ses leur plus cette il elle être ont été jamais même",
-    "es": "el la los las de del y es son qué cuál dónde por para con en una un no se si cuando después antes que al su sus como más sin están ha ningún según está también entre",
+    "en": "per never see rarely until such the of and to in is are was that it for on with as by at from which this be or an not when how where what does do why who while into before after them its their if than every must also only again",
+    "de": "auch zur zum vor gemäß bleiben warum gehören danach später zunächst der die das und ist sind nicht ein eine einen einem zu den dem des von für mit auf im wie wird werden wenn sobald wo wer welche welcher oder aus bei über sich seine ihre durch kann müssen es um ohne dass zwar ebenso",
+    "fr": "fin à été bref celui le la les des du de un une et est sont où qui que quelle quel pourquoi dans pour par avec sur ne pas avant après lorsque dès si ou aux au ses leur plus cette il elle être ont été jamais même",
+    "es": "qué función además resumen tamaño el la los las de del y es son qué cuál dónde por para con en una un no se si cuando después antes que al su sus como más sin están ha ningún según está también entre",
     "ru": "и в не на что как где кто если когда для по из от при но а то его она они это только после чтобы или за уже нет о с к у почему какой файл том",
     "pt": "o os as do da dos das em um uma não é são que para com por quando se ao pela pelo mais foi está sem até também entre como já seu sua",
 }
+#: Letters that are common in one of these languages alone (fixed values).
+OWN_LETTERS = {"de": "äöüß", "fr": "èêàçùîôœ", "es": "ñáíóú¿¡", "pt": "ãõ"}
 _BY_WORD: dict[str, list[str]] = {}
 for _lang, _words in FUNCTION_WORDS.items():
     for _word in _words.split():
@@ -31,6 +33,9 @@ INNER_WORDS = set(
     "и или но а потому чтобы поскольку хотя если когда который которая которые что с без для из от при по в на об про через между".split()
 )
 
+#: Words that open a clause which needs another one after a comma (fixed values).
+OPENING_WORDS = set("if when whenever unless although because while wenn sobald falls obwohl während lorsque quand dès puisque si cuando aunque mientras если когда хотя поскольку пока se quando embora enquanto".split())
+
 #: Ways to decline (fixed values), as patterns over lower-case text without quotations.
 REFUSALS = re.compile(
     r"\b(?:i|we)(?: am|'m|’m)? (?:really |honestly |currently |also )?(?:not able|unable|not in a position|not allowed|not permitted)\b"
@@ -57,6 +62,7 @@ _QUOTE = re.compile(r"\"[^\"\n]*\"|“[^”\n]*”|«[^»\n]*»|„[^“\n]*“|
 _PATH = re.compile(r"\S*[/\\]\S+|\b\w+\.(?:py|js|ts|go|rs|java|c|h|cpp|css|md|json|yaml|yml|toml)\b(?::\d+)?")
 _NAME = re.compile(r"\b\w*[a-zа-я]\w*[A-ZА-Я]\w*\b|\b\w+_\w+\b|\b\w+(?:\.\w+)+(?:\(\))?")
 _WHOLE_ITEM = re.compile(r"[`\"'(]?(?:[\w.@+-]+[/\\])*(?:[\w@+-]+\.)+[A-Za-z]{1,5}(?::\d+(?:-\d+)?)?[`\"')]?|[`\"']?[A-Za-z]\w*(?:(?:\.|::|->)\w+)+(?:\(\))?[`\"']?|[`\"']\w+[`\"']|[-+]?\d[\d.,]*%?")
+_INLINE_SIGNS = re.compile(r"[_`\"'“”«»„*>#\[\](){}]")
 _WORD = re.compile(r"[^\W\d_]+")
 _TOKEN = re.compile(r"\w+", re.U)
 _ENDED = re.compile(r"(?<=[.!?。])[\"'”»)\]*_]*\s+|\n+")
@@ -70,9 +76,14 @@ def prose(text: str) -> str:
     return text
 
 
-def language(text: str) -> str | None:
-    """The language of the prose of a text, null where too little of it tells."""
-    words = [w.lower() for w in _WORD.findall(prose(text))]
+def asked_language(question: str) -> str | None:
+    """The language of a question, which may be quoted as a whole or have underscores for spaces."""
+    return language(_NAME.sub(" ", _INLINE_SIGNS.sub(" ", question)), plain=True)
+
+
+def language(text: str, plain: bool = False) -> str | None:
+    """The language of the prose of a text (of all its words if ``plain``), null where too little of it tells."""
+    words = [w.lower() for w in _WORD.findall(text if plain else prose(text))]
     if len(words) < 3:
         return None
     cyrillic = sum("а" <= w[0] <= "я" or w[0] == "ё" for w in words)
@@ -85,6 +96,9 @@ def language(text: str) -> str | None:
         known = _BY_WORD.get(word, ())
         for lang in known:
             votes[lang] += 1 / len(known)
+        for lang, letters in OWN_LETTERS.items():
+            if any(c in letters for c in word):
+                votes[lang] += 0.5
     if not votes:
         return None
     (first, most), *rest = votes.most_common(2)
@@ -171,6 +185,9 @@ def visibly_cut(answer: str) -> bool:
         return True
     if re.search(r"(?:[:,;(\[{=/\\–—&+]|…|\.\.\.|\(\.|-)$", last):
         return True
+    sentence = re.sub(r"^(?:\d+[.)]|[-*•+])\s+", "", sentences(text)[-1][0] if tail else "")
+    if sentence.split()[:1] and sentence.split()[0].lower() in OPENING_WORDS and "," not in sentence and not re.search(r"[.!?。][\"'”»)\]*_]*$", sentence):
+        return True
     if last.count("`") % 2 or last.count("(") > last.count(")") or last.count("“") > last.count("”") or last.count("«") > last.count("»") or last.count('"') % 2:
         return True
     return False

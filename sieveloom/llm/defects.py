@@ -54,7 +54,7 @@ def _rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             elif rules.echo(question, answer):
                 defect = "echo"
             else:
-                asked, said = rules.language(question or ""), rules.language(answer)
+                asked, said = rules.asked_language(question or ""), rules.language(answer)
                 if asked and said and asked != said:
                     defect = "wrong_language"
                 else:

@@ -77,7 +77,7 @@ def notice(content: str) -> bool:
 
 
 def numbered_series(lines: list[str]) -> bool:
-    """Whether lines of one shape that count up one by one make a good part of a file."""
+    """Whether lines of one shape that count up one by one, or tables of bare numbers, make a good part of a file."""
     shapes: dict[str, list[int]] = defaultdict(list)
     tables = 0
     for line in lines:
@@ -93,7 +93,7 @@ def numbered_series(lines: list[str]) -> bool:
         steps = sum(b - a == 1 for a, b in zip(firsts, firsts[1:], strict=False))
         if len(firsts) >= 4 and steps >= 0.8 * (len(firsts) - 1):
             serial += len(firsts)
-    return serial >= 6 and serial >= 0.15 * len(lines) or serial >= 4 and serial + tables >= 0.7 * len(lines)
+    return serial >= 6 and serial >= 0.15 * len(lines) or tables >= 8 and serial + tables >= 0.6 * len(lines)
 
 
 def minified(content: str, lines: list[str]) -> bool:
@@ -127,9 +127,11 @@ def kind_of(path: str | None, content: str | None) -> str | None:
         return "vendored"
     if MINIFIED_PATH.search(path) or minified(content, lines):
         return "data" if mainly_data(content) and not MINIFIED_PATH.search(path) else "minified"
-    if GENERATED_PATH.search(path) or notice(content) or numbered_series(lines):
+    if GENERATED_PATH.search(path) or notice(content):
         return "generated"
-    return "data" if mainly_data(content) else None
+    if mainly_data(content):
+        return "data"
+    return "generated" if numbered_series(lines) else None
 
 
 def _kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,7 +12,10 @@ CITATIONS = "struct<answer:string,citations:array<struct<path:string>>,confidenc
 
 
 def cited_paths(raw: Column) -> Column:
-    """The distinct cited paths of a raw JSON prediction, in a fence or not; null where it is no JSON object."""
+    """The distinct cited paths of a raw JSON prediction, in a fence or not; null where it is no JSON object.
+
+    What stands behind the object is ignored.
+    """
     body = F.trim(F.regexp_replace(F.trim(raw), r"^```\w*\s*|\s*```$", ""))
     parsed = F.from_json(F.when(body.startswith("{") & F.try_parse_json(body).isNotNull(), body), CITATIONS)
     return F.array_distinct(F.filter(F.transform(parsed["citations"], lambda c: c["path"]), lambda p: p.isNotNull()))

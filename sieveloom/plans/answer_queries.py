@@ -19,7 +19,8 @@ from sieveloom.sources.tables import table
     "answer_grounding",
     r"""
     with b as (select o.*, a.expected, trim(regexp_replace(trim(raw_prediction), '^```\w*\s*|\s*```$', '', 'g')) as body from answer_outcomes o left join answer_cases a on o.case_id = a.id),
-    c as (select generation_model, retrieved_files, expected, case when body like '{%' and json_valid(body) then list_distinct(list_filter(coalesce(json_extract_string(body, '$.citations[*].path'), []), lambda p: p is not null)) end as cited from b)
+    k as (select *, case when json_valid(body) then body else regexp_replace(body, '\s*\}$', '') end as object from b),
+    c as (select generation_model, retrieved_files, expected, case when object like '{%' and json_valid(object) then list_distinct(list_filter(coalesce(json_extract_string(object, '$.citations[*].path'), []), lambda p: p is not null)) end as cited from k)
     select generation_model, count(*) as answers, count(cited) as parsed, coalesce(sum(len(cited)), 0) as citations, round(sum(len(list_intersect(cited, coalesce(retrieved_files, [])))) / sum(len(cited)), 6) as retrieved_share,
         round(sum(len(list_intersect(cited, coalesce(expected, [])))) / sum(len(cited)), 6) as expected_share from c group by all""",
 )
@@ -44,11 +45,11 @@ def pairwise_models(spark: SparkSession, d: str) -> DataFrame:
 @register(
     "rounds_merged",
     RUNS
-    + ", s as (select query_id, item_id, sum(score * pow(0.85, least(variant, 2))) as score from runs where variant <= 2 group by all), r as (select query_id, item_id, round(score, 4) as score, row_number() over (partition by query_id order by round(score, 9) desc, item_id) as rank from s) select * from r where rank <= 10",
+    + ", s as (select query_id, item_id, sum(score * pow(0.851371, least(variant, 2))) as score from runs where variant <= 2 group by all), r as (select query_id, item_id, round(score, 4) as score, row_number() over (partition by query_id order by round(score, 9) desc, item_id) as rank from s) select * from r where rank <= 10",
 )
 def rounds_merged(spark: SparkSession, d: str) -> DataFrame:
     rounds = runs(spark, d).where("variant <= 2").withColumn("round", F.col("variant"))
-    return rounded(answers.rounds_merged(rounds), 4)
+    return rounded(answers.rounds_merged(rounds, decay=0.851371), 4)
 
 
 @register(

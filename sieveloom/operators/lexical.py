@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveloom.functions import text as t
+from sieveloom.plans.runtime import shuffle_partitions
 
 K1, B = 1.2, 0.75
+#: Query terms up to this number are broadcast (about 40 MB); beyond it the joins shuffle by term.
+BROADCAST_TERMS = 1_000_000
 
 
 def ranked(df: DataFrame, per: list[str], order: list[Column], limit: int | None = None, name: str = "rank") -> DataFrame:
@@ -53,13 +56,19 @@ def bm25(items: DataFrame, key: str, tokens: Column, queries: DataFrame, k1: flo
     stats = sized.agg(F.count(F.lit(1)).alias("n"), F.greatest(F.avg("dl"), F.lit(least_avgdl)).alias("avgdl"))
     asked = queries.select("query_id", F.explode(F.array_distinct("terms") if distinct_terms else F.col("terms")).alias("term"))
     asked = asked.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    found = sized.select(key, "dl", F.explode("_tokens").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    posted = found.groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    small = asked.count() <= BROADCAST_TERMS
+    found = sized.select(key, "dl", F.explode("_tokens").alias("term")).join(_sized(asked.select("term").distinct(), small), "term", "left_semi")
+    # By item alone: counting, scoring and adding up then need no further exchange.
+    posted = found.repartition(shuffle_partitions(items.sparkSession), key).groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     frequencies = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = asked.join(frequencies, "term").crossJoin(F.broadcast(stats)).select("query_id", "term", "avgdl", (idf * F.col("qtf")).alias("weight"))
     part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = posted.join(frequencies, "term").crossJoin(F.broadcast(stats)).select(key, "term", (idf * part).alias("s"))
-    return scored.join(asked, "term").groupBy("query_id", key).agg(F.sum(F.col("s") * F.col("qtf")).alias("score"))
+    return posted.join(_sized(weights, small), "term").groupBy("query_id", key).agg(F.sum(F.col("weight") * part).alias("score"))
+
+
+def _sized(df: DataFrame, small: bool) -> DataFrame:
+    return F.broadcast(df) if small else df
 
 
 def any_term(items: DataFrame, key: str, tokens: Column, queries: DataFrame) -> DataFrame:
@@ -78,8 +87,10 @@ def coverage(items: DataFrame, key: str, fields: dict[str, Column], queries: Dat
         part = items.select(key, F.explode(F.array_distinct(terms)).alias("term"), F.lit(name).alias("_field"))
         own = part if own is None else own.unionByName(part)
     asked = queries.select("query_id", F.size(F.array_distinct("terms")).alias("_size"), F.explode(F.array_distinct("terms")).alias("term"))
+    small = asked.count() <= BROADCAST_TERMS
+    wanted = own.join(_sized(asked.select("term").distinct(), small), "term", "left_semi")
     counts = [(F.count_if(F.col("_field") == name) / F.first("_size")).alias(name) for name in fields]
-    return own.join(asked, "term").groupBy("query_id", key).agg(*counts)
+    return wanted.repartition(shuffle_partitions(items.sparkSession), key).join(_sized(asked, small), "term").groupBy("query_id", key).agg(*counts)
 
 
 def lexical_score(content: Column, title: Column) -> Column:

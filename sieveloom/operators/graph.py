@@ -131,8 +131,16 @@ def next_in_file(spans: DataFrame, key: str) -> DataFrame:
     return spans.select(F.col(key).alias("src"), F.lead(key).over(w).alias("dst")).where("dst is not null")
 
 
-def contains(spans: DataFrame, key: str) -> DataFrame:
-    """src and dst where one span lies within a larger one of the same file, joined by file and range."""
+def contains(spans: DataFrame, key: str, lines: int = 64) -> DataFrame:
+    """src and dst where one span lies within a larger one of the same file.
+
+    A span meets those that cover the bucket of ``lines`` lines in which it starts, so a file with many spans is not
+    one key. Spans that end before they start have no such bucket and are joined by file alone.
+    """
     a = spans.select("path", F.col(key).alias("src"), F.col("start_line").alias("s"), F.col("end_line").alias("e"))
     b = spans.select("path", F.col(key).alias("dst"), "start_line", "end_line")
-    return a.join(b, "path").where("src != dst and s <= start_line and end_line <= e and (e - s) > (end_line - start_line)").select("src", "dst")
+    bucket = lambda line: F.floor(F.col(line) / lines)
+    covering = a.where("s <= e").withColumn("_bucket", F.explode(F.sequence(bucket("s"), bucket("e"))))
+    met = covering.join(b.where("start_line <= end_line").withColumn("_bucket", bucket("start_line")), ["path", "_bucket"]).drop("_bucket")
+    met = met.unionByName(a.join(b.where("start_line > end_line"), "path"))
+    return met.where("src != dst and s <= start_line and end_line <= e and (e - s) > (end_line - start_line)").select("src", "dst")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 import __spark_entry__ as entry
 
 HITS = "hit_id bigint, request_id bigint, path string, start_line int, end_line int, score float"
@@ -46,3 +48,14 @@ def test_graph_operators_take_all_seeds(spark, tmp_path):
     assert reached("propagate_hops") == {f"t{i:03}" for i in range(120)}
     assert reached("expand_hops") == {f"t{i:03}" for i in range(n)}
     assert {(r.path, r.neighbour) for r in ran(spark, "typed_neighbors", folder)} == {(f"s{i:03}", f"t{i:03}") for i in range(n)}
+
+
+def test_rounds_merged_takes_all_requests(spark, tmp_path):
+    scores = {1: [0.4], 2: [0.3], 3: [0.2], 4: [0.9, 0.1], 5: [1.0]}
+    hits = [(10 * r + i, r, f"p{i}", 1, 2, s) for r, own in scores.items() for i, s in enumerate(own)]
+    folder = written(spark, tmp_path, search_items=(hits, HITS), search_requests=([(r, "q", "s") for r in scores], "request_id bigint, query string, strategy string"))
+    merged = [(10 * r + i, s * 0.85 ** (r - 1)) for r, own in scores.items() for i, s in enumerate(own)]
+    expected = sorted(merged, key=lambda x: -x[1])
+    found = sorted(ran(spark, "rounds_merged", folder), key=lambda r: r.rank)
+    assert [r.item_id for r in found] == [i for i, _ in expected]
+    assert [r.score for r in found] == pytest.approx([s for _, s in expected], abs=1e-6)

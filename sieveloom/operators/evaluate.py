@@ -163,9 +163,10 @@ def overlap(df: DataFrame, key: str, predicted: Column, reference: Column) -> Da
     return joined.select(key, "n_predicted", "n_reference", precision.alias("precision"), recall.alias("recall"), F.when(precision + recall > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0).alias("f1"))
 
 
-def pivot_counts(df: DataFrame, rows: str, columns: str, values: list[str]) -> DataFrame:
-    """A confusion matrix with the given column values."""
-    return df.groupBy(rows).agg(*(F.count_if(F.col(columns) == v).alias(v) for v in values))
+def pivot_counts(df: DataFrame, rows: str, columns: str, values: list[str], other: str = "other") -> DataFrame:
+    """A confusion matrix with the given column values; ``other`` counts null and all further values, so no row is lost."""
+    known = F.coalesce(F.col(columns).isin(values), F.lit(False))
+    return df.groupBy(rows).agg(*(F.count_if(F.col(columns) == v).alias(v) for v in values), F.count_if(~known).alias(other))
 
 
 def funnel(df: DataFrame, stages: list[str]) -> DataFrame:

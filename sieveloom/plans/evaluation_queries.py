@@ -186,7 +186,8 @@ def bigram_overlap(spark: SparkSession, d: str) -> DataFrame:
     "count(*) filter (source = 'synthetic_where') as synthetic_where from eval_cases group by split",
 )
 def confusion_matrix(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.pivot_counts(table(spark, d, "eval_cases"), "split", "source", ["handwritten", "issue_mined", "log_mined", "synthetic_where"])
+    """Cases by split and source; the SQL above still lacks the columns translated and other."""
+    return evaluate.pivot_counts(table(spark, d, "eval_cases"), "split", "source", ["handwritten", "issue_mined", "log_mined", "synthetic_where", "translated"])
 
 
 @register(

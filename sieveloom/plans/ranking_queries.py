@@ -55,8 +55,10 @@ def cosine_lanes(spark: SparkSession, d: str) -> DataFrame:
     labels = own.select("vec_id", "label")
     asked = own.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     found = None
-    for label, limit in {0: 5, 1: 3, **dict.fromkeys(range(2, 10), 1)}.items():
-        kind = own.where(F.col("label") == label).select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
+    limits = {0: 5, 1: 3}
+    for label in sorted({0, 1} | {r.label for r in labels.select("label").distinct().collect()}, key=lambda x: (x is None, x)):
+        limit = limits.get(label, 1)
+        kind = own.where(F.col("label").eqNullSafe(F.lit(label))).select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
         part = vectors.cosine_top(kind, asked, k=limit + 3)
         found = part if found is None else found.unionByName(part)
     scored = rounded(found).select("query_id", "item_id", "score").join(labels, F.col("item_id") == F.col("vec_id")).select("query_id", "item_id", "score", "label", F.col("label").cast("string").alias("kind"), F.lit("").alias("path"))

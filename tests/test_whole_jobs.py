@@ -59,3 +59,18 @@ def test_rounds_merged_takes_all_requests(spark, tmp_path):
     found = sorted(ran(spark, "rounds_merged", folder), key=lambda r: r.rank)
     assert [r.item_id for r in found] == [i for i, _ in expected]
     assert [r.score for r in found] == pytest.approx([s for _, s in expected], abs=1e-6)
+
+
+def test_confusion_matrix_counts_every_row(spark, tmp_path):
+    sources = ["handwritten", "translated", "translated", "brand_new", None]
+    folder = written(spark, tmp_path, eval_cases=([(i, "dev" if i else None, s) for i, s in enumerate(sources)], "record_id bigint, split string, source string"))
+    rows = {r.split: r.asDict() for r in ran(spark, "confusion_matrix", folder)}
+    assert rows["dev"] == {"split": "dev", "handwritten": 0, "issue_mined": 0, "log_mined": 0, "synthetic_where": 0, "translated": 2, "other": 2}
+    assert sum(v for r in rows.values() for k, v in r.items() if k != "split") == len(sources)
+
+
+def test_cosine_lanes_search_every_label(spark, tmp_path):
+    vectors = [(i, label, [1.0, i / 10]) for i, label in enumerate([0, 1, 2, 57, 57, -4, None, None])]
+    folder = written(spark, tmp_path, embeddings=(vectors, "vec_id bigint, label int, embedding array<float>"))
+    found = [(r.label, r.item_id) for r in ran(spark, "cosine_lanes", folder)]
+    assert set(found) == {(0, 0), (1, 1), (2, 2), (57, 3), (-4, 5), (None, 6)} and len(found) == 6

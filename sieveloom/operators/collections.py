@@ -25,16 +25,16 @@ def composition(files: DataFrame, kind: str) -> DataFrame:
 
 def lint(cases: DataFrame) -> DataFrame:
     """record_id and fault of evaluation records: no id, no query, no expected entry, an id or a query used by several."""
-    counted = cases.withColumns({f"_n_{c}": F.count(c).over(Window.partitionBy(c)) for c in ("id", "query")})
-    repeated = lambda c: F.col(f"_n_{c}") > 1
     faults = F.array(
         F.when(F.col("id").isNull() | (F.col("id") == ""), "no id"),
         F.when(F.col("query").isNull() | (F.trim("query") == ""), "no query"),
         F.when(F.size("expected") < 1, "nothing expected"),
-        F.when(F.col("id").isNotNull() & repeated("id"), "id used again"),
-        F.when(F.col("query").isNotNull() & repeated("query"), "query used again"),
     )
-    return counted.select("record_id", F.explode(F.filter(faults, lambda f: f.isNotNull())).alias("fault"))
+    found = cases.select("record_id", F.explode(F.filter(faults, lambda f: f.isNotNull())).alias("fault"))
+    for c in ("id", "query"):
+        repeated = cases.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+        found = found.unionByName(cases.where(F.col(c).isNotNull()).join(repeated, c, "left_semi").select("record_id", F.lit(f"{c} used again").alias("fault")))
+    return found
 
 
 def expected_of_repeats(cases: DataFrame) -> DataFrame:

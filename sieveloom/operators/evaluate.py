@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveloom.functions.text import path_matches
+from sieveloom.operators.positions import with_mean_rank
 
 Z = 1.96
 
@@ -132,8 +133,8 @@ def agreement(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
 
     The correlations are null below three pairs and without variance.
     """
-    rank = lambda c: F.rank().over(Window.partitionBy(*by).orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, c)) - 1) / 2
-    ranks = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumn("_ra", rank(a)).withColumn("_rb", rank(b))
+    whole = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*by, a, b)
+    ranks = with_mean_rank(with_mean_rank(whole, by, a, "_ra"), by, b, "_rb")
     d = F.col(a) - F.col(b)
     corr = lambda x, y: F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
     enough = F.count(F.lit(1)) >= 3

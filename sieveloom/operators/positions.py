@@ -38,3 +38,35 @@ def nearest_percentiles(df: DataFrame, group: list[str], value: str, at: list[fl
     wanted = places.withColumn("p", F.explode(F.array(*(F.lit(float(q)) for q in at))))
     hit = wanted.where(F.col("position") == F.bround((F.col("group_size") - 1) * F.col("p")).cast("long") + 1)
     return hit.select(*group, "p", F.col(value).alias("value"))
+
+
+def with_mean_rank(df: DataFrame, group: list[str], value: str, name: str) -> DataFrame:
+    """``df`` with the rank of ``value`` in its group, equal values at the mean of their first and last position."""
+    places = numbered(df, group, [F.col(value)], "_position", "_size")
+    ranks = places.groupBy(*group, value).agg(((F.min("_position") + F.max("_position")) / 2).alias(name))
+    return _joined(places.select(*df.columns), ranks, [*group, value], name)
+
+
+def linear_percentiles(df: DataFrame, group: list[str], value: str, at: dict[str, float]) -> DataFrame:
+    """A column for each name in ``at`` with that share's percentile in every group, between two values in proportion; null without values."""
+    places = numbered(df.where(F.col(value).isNotNull()).select(*group, value), group, [F.col(value)])
+    ends, between = [], []
+    for name, q in at.items():
+        place = (F.col("group_size") - 1) * F.lit(float(q)) + 1
+        low, high = F.col(f"_low_{name}"), F.col(f"_high_{name}")
+        share = F.col(f"_share_{name}")
+        ends += [
+            F.max(F.when(F.col("position") == F.floor(place), F.col(value))).alias(f"_low_{name}"),
+            F.max(F.when(F.col("position") == F.ceil(place), F.col(value))).alias(f"_high_{name}"),
+            F.max(place - F.floor(place)).alias(f"_share_{name}"),
+        ]
+        between.append(F.when(low == high, low.cast("double")).otherwise(low * (1 - share) + high * share).alias(name))
+    found = places.groupBy(*group).agg(*ends).select(*group, *between)
+    return _joined(df.select(*group).distinct(), found, group, *at)
+
+
+def _joined(left: DataFrame, right: DataFrame, keys: list[str], *names: str) -> DataFrame:
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
+    return left.alias("l").join(right.alias("r"), same, "left").select("l.*", *(F.col(f"r.{n}") for n in names))

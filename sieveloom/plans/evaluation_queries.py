@@ -125,8 +125,7 @@ def percentile_nearest(spark: SparkSession, d: str) -> DataFrame:
     "select generation_model, round(quantile_cont(generation_duration_ms, 0.9), 6) as p90, round(quantile_cont(generation_duration_ms, 0.5), 6) as p50 from answer_outcomes group by all",
 )
 def percentile_linear(spark: SparkSession, d: str) -> DataFrame:
-    outcomes = table(spark, d, "answer_outcomes").groupBy("generation_model")
-    return rounded(outcomes.agg(F.percentile("generation_duration_ms", 0.9).alias("p90"), F.percentile("generation_duration_ms", 0.5).alias("p50")))
+    return rounded(positions.linear_percentiles(table(spark, d, "answer_outcomes"), ["generation_model"], "generation_duration_ms", {"p90": 0.9, "p50": 0.5}))
 
 
 AGREEMENT = """

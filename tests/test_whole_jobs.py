@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import random
+from statistics import correlation
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from sieveloom.operators import collections, evaluate, positions
 
 HITS = "hit_id bigint, request_id bigint, path string, start_line int, end_line int, score float"
 
@@ -74,3 +77,28 @@ def test_cosine_lanes_search_every_label(spark, tmp_path):
     folder = written(spark, tmp_path, embeddings=(vectors, "vec_id bigint, label int, embedding array<float>"))
     found = [(r.label, r.item_id) for r in ran(spark, "cosine_lanes", folder)]
     assert set(found) == {(0, 0), (1, 1), (2, 2), (57, 3), (-4, 5), (None, 6)} and len(found) == 6
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_no_task_holds_a_group(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["x", None]), float(rng.randint(0, 6)), rng.random()) for _ in range(200)] + [("none", None, None), ("one", 2.0, 3.0)]
+    df = spark.createDataFrame(rows, "g string, a double, b double")
+    found = positions.linear_percentiles(df, ["g"], "b", {"p90": 0.9, "p50": 0.5})
+    exact = df.groupBy("g").agg(F.percentile("b", 0.9).alias("p90"), F.percentile("b", 0.5).alias("p50"))
+    assert {r.g: (r.p90, r.p50) for r in found.collect()} == {r.g: pytest.approx((r.p90, r.p50)) if r.p90 is not None else (None, None) for r in exact.collect()}
+    assert "percentile(" not in plan(found)
+    agreed = evaluate.agreement(df, "a", "b", ["g"])
+    rank = lambda values, v: sum(x < v for x in values) + (sum(x == v for x in values) + 1) / 2
+    for r in agreed.collect():
+        a, b = zip(*((x, y) for g, x, y in rows if g == r.g and x is not None))
+        assert r.n == len(a)
+        assert r.spearman is None if len(a) < 3 else r.spearman == pytest.approx(correlation([rank(a, x) for x in a], [rank(b, y) for y in b]))
+    assert "rank(" not in plan(agreed)
+    cases = spark.createDataFrame([(1, "i", "q", ["e"]), (2, "i", None, []), (3, None, "q", ["e"]), (4, None, " ", ["e"]), (5, "", "r", ["e"])], "record_id bigint, id string, query string, expected array<string>")
+    faults = collections.lint(cases)
+    assert sorted(map(tuple, faults.collect())) == [(1, "id used again"), (1, "query used again"), (2, "id used again"), (2, "no query"), (2, "nothing expected"), (3, "no id"), (3, "query used again"), (4, "no id"), (4, "no query"), (5, "no id")]
+    assert "Window" not in plan(faults)

@@ -67,10 +67,9 @@ def weight_grid(candidates: DataFrame, signals: list[str], steps: int, target: s
     return best.groupBy(*names).agg(F.avg("_t").alias("mean_target"))
 
 
-def embedding_text(title: Column, path: Column, content: Column, tokens: int = 512, reserve: int = 32) -> Column:
-    """The text that stands for an item before embedding, cut at three characters a token."""
-    text = F.concat(F.lit("title: "), F.coalesce(title, path), F.lit(" | path: "), path, F.lit(" | text: "), F.coalesce(content, F.lit("")))
-    return F.substring(text, 1, 3 * (tokens - reserve))
+def embedding_text(title: Column, path: Column, content: Column) -> Column:
+    """The text that stands for an item before embedding, whole; what a model can take is the model's to cut."""
+    return F.concat(F.lit("title: "), F.coalesce(title, path), F.lit(" | path: "), path, F.lit(" | text: "), F.coalesce(content, F.lit("")))
 
 
 def breadcrumb(path: Column, symbol: Column, content: Column) -> Column:

@@ -102,3 +102,8 @@ def test_no_task_holds_a_group(spark):
     faults = collections.lint(cases)
     assert sorted(map(tuple, faults.collect())) == [(1, "id used again"), (1, "query used again"), (2, "id used again"), (2, "no query"), (2, "nothing expected"), (3, "no id"), (3, "query used again"), (4, "no id"), (4, "no query"), (5, "no id")]
     assert "Window" not in plan(faults)
+
+
+def test_embedding_texts_are_whole(spark, tmp_path):
+    folder = written(spark, tmp_path, code_items=([(1, "a/b.py", "B", "x" * 5000 + " end", "python")], "item_id bigint, path string, title string, content string, code_language string"))
+    assert [r.text for r in ran(spark, "embedding_texts", folder)] == ["title: B | path: a/b.py | text: " + "x" * 5000 + " end"]

@@ -2,8 +2,8 @@
 
 The exact packing needs only how many pieces there are of each length, a table of at most ``capacity`` rows whatever
 the number of items. From it the containers are planned as patterns (so many containers with the same lengths in
-them), tier by tier from long to short: pieces of a tier first fill the gaps that longer tiers left, best fit first,
-then open containers of their own. The plan has a few rows per length. The items are never collected or sorted: tasks
+them), from long to short: pieces of a length first fill the gaps that longer ones left, best fit first, then open
+containers of the one capacity. This is best-fit decreasing; tiers do not act, as any tiers give the same order. The plan has a few rows per length. The items are never collected or sorted: tasks
 number their pieces of each length locally, prefix sums over the tasks make the numbers global, and a number falls
 into exactly one slot of the plan. Containers of like cost are dealt to step groups in alternating direction, so that
 every group has nearly the same cost.

@@ -4,17 +4,19 @@ Texts are compared as word sequences without case, punctuation and space. Every
 segments, k being the edits allowed for its length: whatever k edits do, one segment stays whole (the order of its one
 or two words does not matter, so that swapped neighbours keep it). Training texts offer all word substrings of these
 lengths; a segment meets the same substring of a training text with a common expected entry if their positions and
-lengths allow it. A 64-bit word signature refuses most chance meetings within the join. What remains is verified with
+lengths allow it. Substrings that are no segment of any evaluation text are dropped by a bitmap of the segments before
+the exchange. A 64-bit word signature refuses most chance meetings within the join. What remains is verified with
 banded dynamic programming over words. Equal texts are compared once, and pairs of records are expanded at the end.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveloom.plans.runtime import checkpoint, spread
@@ -22,6 +24,12 @@ from sieveloom.plans.runtime import checkpoint, spread
 #: Shares of words: edits that segments and positions allow for, words of the shorter text that may be missing in the
 #: longer, words of the longer text that may be added, and edits (a moved word is two) at all.
 EDITS, MISSING, ADDED, AT_ALL = 0.45, 0.26, 0.45, 0.6
+#: Words of the longest segment: n / (k + 1) words, rounded up.
+LONGEST = math.ceil(1 / EDITS)
+#: Bits per segment of the bitmap, and the segments up to which it is broadcast (four a word of some 32 bytes: 64 MB).
+KEY_BITS, FILTER_KEYS = 16, 8_000_000
+#: A key of more segments is split by rare words; such keys are broadcast up to this number.
+HOT_ROWS, BROADCAST_KEYS = 1_000, 1_000_000
 
 
 def word_distance(a: list[str], b: list[str], most: int) -> int:
@@ -62,7 +70,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _words(text: Column) -> Column:
-    return F.regexp_extract_all(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), F.lit(r"([\p{L}\p{N}]+)"), 1)
+    """The words of a text, letters and digits without case, with a space between."""
+    return F.trim(F.regexp_replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), r"[^\p{L}\p{N}]+", " "))
 
 
 def _signature(words: Column) -> Column:
@@ -78,37 +87,64 @@ def records(cases: DataFrame, text: str) -> DataFrame:
 
 def _prepared(cases: DataFrame) -> DataFrame:
     """Rows by entry: record_id, held_out, entry, text (words joined), id of the text."""
-    usable = cases.where("split in ('train', 'dev', 'test', 'holdout') and text is not null and size(expected) > 0")
-    words = usable.select("record_id", (F.col("split") != "train").alias("held_out"), F.array_join(_words(F.col("text")), " ").alias("text"), F.explode(F.array_distinct("expected")).alias("entry"))
-    words = words.where("text != '' and entry is not null").select("record_id", "held_out", "text", F.xxhash64("entry", F.lit(1)).alias("entry"), F.xxhash64("text").alias("text_id"))
+    usable = cases.where("split in ('train', 'dev', 'test', 'holdout') and size(expected) > 0").where(F.col("text").rlike(r"[\p{L}\p{N}]"))
+    words = usable.select("record_id", (F.col("split") != "train").alias("held_out"), _words(F.col("text")).alias("text"), F.explode(F.array_distinct("expected")).alias("entry"))
+    words = words.where("entry is not null").select("record_id", "held_out", "text", F.xxhash64("entry", F.lit(1)).alias("entry"), F.xxhash64("text").alias("text_id"))
     return spread(words)
 
 
 def _grams(texts: DataFrame) -> DataFrame:
+    """Texts with a hash per word (62 bits, so that three of them add up without overflow), their number and signature."""
     split = texts.select("entry", "text_id", F.split("text", " ").alias("w"))
-    return split.select("entry", "text_id", "w", F.size("w").alias("n"), _signature(F.col("w")).alias("signature"))
+    return split.select("entry", "text_id", F.transform("w", lambda w: F.shiftright(F.xxhash64(w), 2)).alias("h"), F.size("w").alias("n"), _signature(F.col("w")).alias("signature"))
 
 
-def _key(part: Column) -> Column:
-    return F.xxhash64(F.col("entry"), F.array_sort(part))
+def _key(start: Column, length: Column) -> Column:
+    """The hash of an entry and the ``length`` words from ``start`` (from 0), in any order; array access stays in generated code."""
+    total = F.get("h", start)
+    for i in range(1, LONGEST):
+        total = total + F.when(length > i, F.get("h", start + i)).otherwise(0)
+    return F.xxhash64(F.col("entry"), length, total)
+
+
+def _segment_count() -> Column:
+    """k + 1 for a text of n words."""
+    return F.least(F.greatest(F.lit(1), F.floor(F.col("n") * EDITS)).cast("int") + 1, F.col("n"))
 
 
 def segments(texts: DataFrame) -> DataFrame:
     """The k + 1 segments of every evaluation text, with the position of each."""
-    cut = _grams(texts).withColumn("k", F.greatest(F.lit(1), F.floor(F.col("n") * EDITS)).cast("int"))
-    number = F.least(F.col("k") + 1, F.col("n"))
-    parts = F.transform(
-        F.sequence(F.lit(0), number - 1),
-        lambda j: F.struct(F.floor(j * F.col("n") / number).cast("int").alias("position"), (F.floor((j + 1) * F.col("n") / number) - F.floor(j * F.col("n") / number)).cast("int").alias("length")),
-    )
-    return cut.select("*", F.inline(parts)).select("entry", "text_id", "n", "signature", "position", _key(F.slice(F.col("w"), F.col("position") + 1, F.col("length"))).alias("key"))
+    number = _segment_count()
+    bound = lambda j: F.floor(j * F.col("n") / number).cast("int")
+    each = _grams(texts).select("*", F.explode(F.sequence(F.lit(0), number - 1)).alias("j")).withColumn("position", bound(F.col("j")))
+    return each.select(_key(F.col("position"), bound(F.col("j") + 1) - F.col("position")).alias("key"), "text_id", "n", "signature", "position")
 
 
-def substrings(texts: DataFrame, most: int = 3) -> DataFrame:
-    """All word substrings of up to ``most`` words of every training text, with their positions."""
+def substrings(texts: DataFrame) -> DataFrame:
+    """All word substrings of a segment's possible lengths of every training text, with their positions."""
     starts = F.sequence(F.lit(0), F.col("n") - 1)
-    whole = _grams(texts).select("*", F.explode(starts).alias("position")).select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(most), F.col("n") - F.col("position")))).alias("length"))
-    return whole.select("entry", "text_id", "n", "signature", "position", _key(F.slice(F.col("w"), F.col("position") + 1, F.col("length"))).alias("key"))
+    lengths = F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.col("n") - F.col("position")))
+    whole = _grams(texts).select("*", F.explode(starts).alias("position")).select("*", F.explode(lengths).alias("length"))
+    return whole.select(_key(F.col("position"), F.col("length")).alias("key"), "text_id", "n", "signature", "position")
+
+
+def _spot(count: int) -> Column:
+    return F.pmod("key", F.lit(max(1, count) * KEY_BITS))
+
+
+def key_filter(keys: DataFrame, count: int) -> DataFrame:
+    """word and bits: a bitmap of 16 bits per key as 64-bit words."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), _spot(count).bitwiseAND(63).cast("int"))
+    return keys.groupBy(F.shiftright(_spot(count), 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+
+
+def among(rows: DataFrame, keys: DataFrame, count: int) -> DataFrame:
+    """The ``rows`` whose key may be one of ``keys`` (``count`` of them), by the broadcast bitmap; all rows where it were too large."""
+    if count > FILTER_KEYS:
+        return rows
+    placed = rows.withColumn("word", F.shiftright(_spot(count), 6)).join(F.broadcast(key_filter(keys, count)), "word")
+    set_there = F.call_function("shiftrightunsigned", F.col("bits"), _spot(count).bitwiseAND(63).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+    return placed.where(set_there).select(*rows.columns)
 
 
 def _plausible() -> Column:
@@ -120,7 +156,48 @@ def _plausible() -> Column:
     return shift & lengths & (missing <= F.least(e("n"), t("n")) * MISSING)
 
 
-def overlaps(cases: DataFrame) -> DataFrame:
+def _rare_words(texts: DataFrame) -> DataFrame:
+    """text_id and the hashes of the rarest words of every text, one more than near texts may lack.
+
+    A word that stands twice is two words. If the rarest words of a text are all missing in another one, more than the
+    shares ADDED and MISSING are: near texts therefore have one of these words of both in common.
+    """
+    split = texts.select("text_id", F.split("text", " ").alias("w"))
+    words = split.select("text_id", F.size("w").alias("n"), F.explode("w").alias("word"))
+    counted = words.groupBy("text_id", "n", "word").agg(F.count(F.lit(1)).alias("times"))
+    frequency = counted.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    each = counted.join(frequency.hint("merge"), "word").select("text_id", "n", "df", "word", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("time"))
+    order = Window.partitionBy("text_id").orderBy("df", "word", "time")  # a group is the words of one text
+    return each.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= F.floor(F.col("n") * ADDED) + 1).select("text_id", F.xxhash64("word", "time").alias("rare"))
+
+
+def _candidates(rows: DataFrame, hot_rows: int) -> DataFrame:
+    """held_out_text and train_text that share a segment at allowed positions, an entry, and enough of their signatures.
+
+    Keys of more than ``hot_rows`` segments (a frequent segment of a frequent entry) meet on a rare word as well, which
+    loses no near pair and splits the key.
+    """
+    held_out = rows.where("held_out").select("entry", "text_id", "text").distinct()
+    train = rows.where("not held_out").select("entry", "text_id", "text").distinct()
+    count = held_out.select(F.size(F.split("text", " ")).alias("n")).agg(F.sum(_segment_count()).alias("s")).first()["s"] or 0
+    cut = segments(held_out)
+    found = among(substrings(train), cut, count)
+    hot = cut.groupBy("key").agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > hot_rows).select("key")
+    n_hot = hot.count()
+    pair = [F.col("e.text_id").alias("held_out_text"), F.col("t.text_id").alias("train_text")]
+    # Counted sizes, no estimates: both sides grow by a generator, which the optimizer does not foresee.
+    if n_hot == 0:
+        return cut.alias("e").join(found.hint("merge").alias("t"), (F.col("e.key") == F.col("t.key")) & _plausible()).select(*pair).distinct()
+    hot = checkpoint(hot)
+    hot = F.broadcast(hot) if n_hot <= BROADCAST_KEYS else hot.hint("merge")
+    plain = cut.join(hot, "key", "left_anti").alias("e").join(found.join(hot, "key", "left_anti").hint("merge").alias("t"), (F.col("e.key") == F.col("t.key")) & _plausible()).select(*pair)
+    rare = checkpoint(_rare_words(rows.select("text_id", "text").dropDuplicates(["text_id"])))
+    narrowed = lambda df: df.join(hot, "key", "left_semi").join(rare.hint("merge"), "text_id")
+    split = narrowed(cut).alias("e").join(narrowed(found).hint("merge").alias("t"), (F.col("e.key") == F.col("t.key")) & (F.col("e.rare") == F.col("t.rare")) & _plausible()).select(*pair)
+    return plain.unionByName(split).distinct()
+
+
+def overlaps(cases: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """held_out_id and train_id of records with near texts and a common expected entry, one in train, one held out.
 
     ``cases`` has record_id, text, expected, split and source, see ``records``. Splits other than train, dev, test
@@ -128,20 +205,17 @@ def overlaps(cases: DataFrame) -> DataFrame:
     part. Rows with the same record_id are one record. Every pair is a row, within larger groups as well.
     """
     rows = checkpoint(_prepared(cases))
-    held_out = rows.where("held_out").select("entry", "text_id", "text").distinct()
-    train = rows.where("not held_out").select("entry", "text_id", "text").distinct()
-    met = segments(held_out).alias("e").join(substrings(train).alias("t"), (F.col("e.key") == F.col("t.key")) & (F.col("e.entry") == F.col("t.entry")) & _plausible())
-    candidates = met.select(F.col("e.text_id").alias("held_out_text"), F.col("t.text_id").alias("train_text")).distinct()
+    candidates = _candidates(rows, hot_rows)
     texts = rows.select("text_id", "text").dropDuplicates(["text_id"])
     pairs = (
-        candidates.join(texts.select(F.col("text_id").alias("held_out_text"), F.col("text").alias("a")), "held_out_text")
-        .join(texts.select(F.col("text_id").alias("train_text"), F.col("text").alias("b")), "train_text")
+        candidates.join(texts.select(F.col("text_id").alias("held_out_text"), F.col("text").alias("a")).hint("merge"), "held_out_text")
+        .join(texts.select(F.col("text_id").alias("train_text"), F.col("text").alias("b")).hint("merge"), "train_text")
         .select("held_out_text", "train_text", "a", "b")
         .mapInArrow(_verify, "held_out_text bigint, train_text bigint")
     )
     own = rows.where("held_out").select(F.col("text_id").alias("held_out_text"), "entry", F.col("record_id").alias("held_out_id"))
     other = rows.where("not held_out").select(F.col("text_id").alias("train_text"), "entry", F.col("record_id").alias("train_id"))
-    return pairs.join(own, "held_out_text").join(other, ["train_text", "entry"]).select("held_out_id", "train_id").distinct()
+    return pairs.join(own.hint("merge"), "held_out_text").join(other.hint("merge"), ["train_text", "entry"]).select("held_out_id", "train_id").distinct()
 
 
 def by_split_and_source(cases: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 from hypothesis import given
 from hypothesis import strategies as st
 
-from sieveloom.llm.overlap import by_split_and_source, near, overlaps, word_distance
+from sieveloom.llm.overlap import among, by_split_and_source, near, overlaps, word_distance
 
 WORDS = "where does the reader convert fonts into tags for proxy how are shards restored after disk fills up and writer restarts which file defines many".split()
 
@@ -57,6 +57,16 @@ def test_matches_brute_force(spark):
     found = {(r.held_out_id, r.train_id) for r in overlaps(df).collect()}
     assert found <= wanted
     assert len(found) >= 0.99 * len(wanted)
+    # Every key as a hot one: splitting it by rare words loses and adds nothing.
+    assert {(r.held_out_id, r.train_id) for r in overlaps(df, hot_rows=0).collect()} == found
+
+
+def test_the_segment_filter_keeps_every_segment(spark):
+    keys = spark.range(5000).selectExpr("xxhash64(id) as key")
+    rows = spark.range(50_000).selectExpr("xxhash64(id) as key", "id")
+    kept = {r.id for r in among(rows, keys, 5000).collect()}
+    assert kept >= set(range(5000)) and len(kept) < 10_000
+    assert among(rows, keys.limit(0), 0).count() == 0
 
 
 def test_edges_of_the_input(spark):

@@ -147,10 +147,18 @@ def among(rows: DataFrame, keys: DataFrame, count: int) -> DataFrame:
     return placed.where(set_there).select(*rows.columns)
 
 
+def _once_per_text(rows: DataFrame) -> DataFrame:
+    """One row per key and text with the first and last of its positions, partitioned by key for the join.
+
+    A long text that repeats itself would else meet another one once for every two of its places.
+    """
+    return rows.repartition("key").groupBy("key", "text_id", "n", "signature").agg(F.min("position").alias("first"), F.max("position").alias("last"))
+
+
 def _plausible() -> Column:
     """Positions, lengths and signatures that near texts may have."""
     e, t = (lambda c: F.col(f"e.{c}")), (lambda c: F.col(f"t.{c}"))
-    shift = F.abs(e("position") - t("position")) <= F.greatest(e("n"), t("n")) * EDITS + 1
+    shift = F.greatest(e("first") - t("last"), t("first") - e("last")) <= F.greatest(e("n"), t("n")) * EDITS + 1
     lengths = F.least(e("n"), t("n")) >= F.greatest(e("n"), t("n")) * (1 - ADDED) - 1
     missing = F.when(e("n") <= t("n"), F.bit_count(e("signature").bitwiseAND(F.bitwise_not(t("signature"))))).otherwise(F.bit_count(t("signature").bitwiseAND(F.bitwise_not(e("signature")))))
     return shift & lengths & (missing <= F.least(e("n"), t("n")) * MISSING)
@@ -174,14 +182,14 @@ def _rare_words(texts: DataFrame) -> DataFrame:
 def _candidates(rows: DataFrame, hot_rows: int) -> DataFrame:
     """held_out_text and train_text that share a segment at allowed positions, an entry, and enough of their signatures.
 
-    Keys of more than ``hot_rows`` segments (a frequent segment of a frequent entry) meet on a rare word as well, which
+    Keys that more than ``hot_rows`` texts have (a frequent segment of a frequent entry) meet on a rare word as well, which
     loses no near pair and splits the key.
     """
     held_out = rows.where("held_out").select("entry", "text_id", "text").distinct()
     train = rows.where("not held_out").select("entry", "text_id", "text").distinct()
     count = held_out.select(F.size(F.split("text", " ")).alias("n")).agg(F.sum(_segment_count()).alias("s")).first()["s"] or 0
-    cut = segments(held_out)
-    found = among(substrings(train), cut, count)
+    cut = _once_per_text(segments(held_out))
+    found = _once_per_text(among(substrings(train), segments(held_out), count))
     hot = cut.groupBy("key").agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > hot_rows).select("key")
     n_hot = hot.count()
     pair = [F.col("e.text_id").alias("held_out_text"), F.col("t.text_id").alias("train_text")]

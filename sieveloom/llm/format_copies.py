@@ -6,24 +6,27 @@ by slice like saturating counters; the second lets only records whose bits are a
 exact grouping by SHA-256 of the canonical form. All others are singletons and leave without a shuffle. A false
 positive of the filter only costs a row in the exchange.
 
-The merged filter is broadcast. Its size is bounded by ``max_bits`` (32 MB by default), whatever the input. Beyond
-about ``max_bits / 8`` records the filter fills up and lets more singletons through; results stay exact.
+The filter has 16 bits for every record, however many there are. Up to ``broadcast_bytes`` it is broadcast; a larger one
+stays partitioned by slice, and what then moves of a record is its key, its hash and its bits.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bits of a slice of the filter; a record's bits lie in one slice.
-SLICE_BITS = 1 << 16
+from sieveloom.plans.runtime import checkpoint
+
+#: Bits of a slice of the filter, of which there are up to MOST_SLICES before they grow; a record's bits lie in one slice.
+SLICE_BITS, MOST_SLICES = 1 << 16, 4096
 BITS_PER_RECORD = 16
-MAX_BITS = 1 << 28
+#: A filter up to this size is broadcast (for 16 million records); a larger one stays partitioned.
+BROADCAST_BYTES = 32 << 20
 #: A group with more rows is joined by broadcast; there are at most (rows / HOT_ROWS) of them.
 HOT_ROWS = 50_000
 
@@ -52,90 +55,113 @@ def canonical_case(df: DataFrame) -> Column:
     return F.to_json(F.struct(letters_and_digits(F.col("id")).alias("i"), letters_and_digits(F.col("query")).alias("q"), entries.alias("e"), canonical_json(F.col("metadata_json")).alias("m")))
 
 
-def _local_filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The filter pair of what one task reads, as one compressed row per touched slice."""
-    slices: dict[int, np.ndarray] = {}
-    for batch in batches:
-        number, first, second = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        order = np.argsort(number, kind="stable")
-        cuts = np.flatnonzero(np.diff(number[order])) + 1
-        for rows in np.split(order, cuts):
-            if len(rows):
-                counts = slices.setdefault(int(number[rows[0]]), np.zeros(SLICE_BITS, dtype=np.uint8))
+def _local_filters(slice_bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The filter pair of what one task reads, sorted by slice, as one compressed row per touched slice."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, counts = None, np.zeros(slice_bits, np.uint8)
+        done: list[tuple[int, bytes]] = []
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([n for n, _ in done], pa.int32()), pa.array([d for _, d in done], pa.binary())], names=["slice", "filters"])
+
+        def packed() -> bytes:
+            return zlib.compress(np.packbits(counts > 0).tobytes() + np.packbits(counts > 1).tobytes(), 1)
+
+        for batch in batches:
+            number, first, second = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            for rows in np.split(np.arange(len(number)), np.flatnonzero(np.diff(number)) + 1):
+                if not len(rows):
+                    continue
+                if number[rows[0]] != current:
+                    if current is not None:
+                        done.append((current, packed()))
+                    current, counts = int(number[rows[0]]), np.zeros(slice_bits, np.uint8)
                 # A record sets two bits, or one where both fall together; the second sight of a bit is remembered.
                 positions = np.concatenate([first[rows], second[rows][second[rows] != first[rows]]])
-                counts[:] = np.minimum(2, counts + np.minimum(2, np.bincount(positions, minlength=SLICE_BITS)))
-    for start in range(0, len(slices), 64):
-        part = list(slices.items())[start : start + 64]
-        packed = [zlib.compress(np.packbits(c > 0).tobytes() + np.packbits(c > 1).tobytes(), 1) for _, c in part]
-        yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in part], pa.int32()), pa.array(packed, pa.binary())], names=["slice", "filters"])
+                spots, times = np.unique(positions, return_counts=True)
+                counts[spots] = np.minimum(2, counts[spots] + np.minimum(2, times))
+            if len(done) >= 64:
+                yield out()
+                done = []
+        if current is not None:
+            done.append((current, packed()))
+        yield out()
+
+    return build
 
 
-def _merge_filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _merge_filters(slice_bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """One "seen again" bitmap per slice from rows sorted by slice, as 64-bit words; slices without any bit fall away."""
-    half = SLICE_BITS // 8
-    number: int | None = None
-    seen, again = np.zeros(half, np.uint8), np.zeros(half, np.uint8)
-    done: list[tuple[int, np.ndarray]] = []
-
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([n for n, _ in done], pa.int32()), pa.array([w for _, w in done], pa.list_(pa.int64()))], names=["slice", "words"])
-
-    for batch in batches:
-        for n, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if n != number:
-                if number is not None and again.any():
-                    done.append((number, np.packbits(np.unpackbits(again), bitorder="little").view("<i8")))
-                number, seen, again = n, np.zeros(half, np.uint8), np.zeros(half, np.uint8)
-            both = np.frombuffer(zlib.decompress(data), np.uint8)
-            again |= both[half:] | (seen & both[:half])
-            seen |= both[:half]
-        if len(done) >= 64:
-            yield out()
-            done = []
-    if number is not None and again.any():
-        done.append((number, np.packbits(np.unpackbits(again), bitorder="little").view("<i8")))
-    yield out()
-
-
-def _bits(canonical: Column, slices: int) -> list[Column]:
-    spot = F.xxhash64(canonical)
-    return [
-        F.pmod(F.shiftrightunsigned(spot, 33), F.lit(slices)).cast("int").alias("_slice"),
-        spot.bitwiseAND(SLICE_BITS - 1).cast("int").alias("_bit1"),
-        F.shiftright(spot, 16).bitwiseAND(SLICE_BITS - 1).cast("int").alias("_bit2"),
-    ]
-
-
-def possible_repeats(records: DataFrame, canonical: Column, key: str, max_bits: int = MAX_BITS) -> DataFrame:
-    """``key``, _canonical and _repeat of ``records``; _repeat is false for those that surely occur once."""
-    rows = records.count()
-    bits = min(max_bits, max(SLICE_BITS, rows * BITS_PER_RECORD))
-    slices = -(-bits // SLICE_BITS)
-    local = records.select(*_bits(canonical, slices)).mapInArrow(_local_filters, "slice int, filters binary")
-    merged = local.repartition("slice").sortWithinPartitions("slice").mapInArrow(_merge_filters, "slice int, words array<bigint>")
-    marked = records.select(key, canonical.alias("_canonical"))
-    marked = marked.select("*", *_bits(F.col("_canonical"), slices))
+    half = slice_bits // 8
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number: int | None = None
+        seen, again = np.zeros(half, np.uint8), np.zeros(half, np.uint8)
+        done: list[tuple[int, np.ndarray]] = []
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([n for n, _ in done], pa.int32()), pa.array([w for _, w in done], pa.list_(pa.int64()))], names=["slice", "words"])
+
+        def close() -> None:
+            if number is not None and again.any():
+                done.append((number, np.packbits(np.unpackbits(again), bitorder="little").view("<i8")))
+
+        for batch in batches:
+            for n, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if n != number:
+                    close()
+                    number, seen, again = n, np.zeros(half, np.uint8), np.zeros(half, np.uint8)
+                both = np.frombuffer(zlib.decompress(data), np.uint8)
+                again |= both[half:] | (seen & both[:half])
+                seen |= both[:half]
+                if len(done) * half >= 1 << 19:
+                    yield out()
+                    done = []
+        close()
+        yield out()
+
+    return merge
+
+
+def possible_repeats(records: DataFrame, canonical: Column, key: str, broadcast_bytes: int = BROADCAST_BYTES, slice_bits: int | None = None) -> DataFrame:
+    """``key``, _exact (SHA-256 of the canonical form) and _repeat of ``records``; _repeat is false for those that surely occur once.
+
+    The canonical forms are computed once and kept as hashes. Where the filter stays partitioned, AQE splits the slice
+    of a hot group.
+    """
+    hashed = checkpoint(records.select(key, F.unhex(F.sha2(canonical, 256)).alias("_exact")))
+    bits = max(SLICE_BITS, hashed.count() * BITS_PER_RECORD)
+    slice_bits = slice_bits or SLICE_BITS << max(0, (bits // (SLICE_BITS * MOST_SLICES)).bit_length())
+    slices = -(-bits // slice_bits)
+    spot = F.xxhash64("_exact", F.lit(1))
+    placed = hashed.select(
+        "*",
+        F.pmod(F.xxhash64("_exact"), F.lit(slices)).cast("int").alias("_slice"),
+        spot.bitwiseAND(slice_bits - 1).cast("int").alias("_bit1"),
+        F.shiftright(spot, 32).bitwiseAND(slice_bits - 1).cast("int").alias("_bit2"),
+    )
+    local = placed.select("_slice", "_bit1", "_bit2").sortWithinPartitions("_slice").mapInArrow(_local_filters(slice_bits), "slice int, filters binary")
+    merged = local.repartition("slice").sortWithinPartitions("slice").mapInArrow(_merge_filters(slice_bits), "_slice int, words array<bigint>")
 
     def bit(position: str) -> Column:
         return F.expr(f"(shiftrightunsigned(words[shiftright({position}, 6)], {position} & 63) & 1L) = 1L")
 
-    tested = marked.join(F.broadcast(merged.withColumnRenamed("slice", "_slice")), "_slice", "left")
-    return tested.withColumn("_repeat", F.coalesce(bit("_bit1") & bit("_bit2"), F.lit(False))).drop("_slice", "_bit1", "_bit2", "words")
+    tested = placed.join(F.broadcast(merged) if slices * slice_bits // 8 <= broadcast_bytes else merged.hint("merge"), "_slice", "left")
+    return tested.select(key, "_exact", F.coalesce(bit("_bit1") & bit("_bit2"), F.lit(False)).alias("_repeat"))
 
 
 def _groups(candidates: DataFrame, key: str) -> DataFrame:
     return candidates.groupBy("_exact").agg(F.min(key).alias("kept_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
 
 
-def copies(records: DataFrame, canonical: Column, key: str = "record_id", max_bits: int = MAX_BITS) -> DataFrame:
+def copies(records: DataFrame, canonical: Column, key: str = "record_id", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """kept_id and ``key`` for every record that is a copy of one with a smaller ``key``.
 
     ``key`` identifies a record and is not null; rows with the same key are one record. An empty input gives an empty
     result. Other columns don't matter.
     """
-    marked = possible_repeats(records, canonical, key, max_bits).where("_repeat")
-    candidates = marked.select(F.col(key), F.unhex(F.sha2("_canonical", 256)).alias("_exact")).distinct()
+    candidates = checkpoint(possible_repeats(records, canonical, key, broadcast_bytes).where("_repeat").select(key, "_exact").distinct())
     groups = _groups(candidates, key)
     hot = F.broadcast(groups.where(F.col("copies") > HOT_ROWS).select("_exact", F.col("kept_id").alias("_hot_id")))
     rest = groups.where(F.col("copies") <= HOT_ROWS).select("_exact", "kept_id")
@@ -144,9 +170,9 @@ def copies(records: DataFrame, canonical: Column, key: str = "record_id", max_bi
     return found.where(F.col("kept_id") < F.col(key))
 
 
-def collapsed(records: DataFrame, canonical: Column, key: str = "record_id", max_bits: int = MAX_BITS) -> DataFrame:
+def collapsed(records: DataFrame, canonical: Column, key: str = "record_id", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row per record, the one with the smallest ``key`` of its copies, with the number of copies."""
-    marked = possible_repeats(records, canonical, key, max_bits)
+    marked = possible_repeats(records, canonical, key, broadcast_bytes)
     single = marked.where("not _repeat").select(F.col(key), F.lit(1).cast("long").alias("copies"))
-    grouped = marked.where("_repeat").groupBy(F.unhex(F.sha2("_canonical", 256)).alias("_exact")).agg(F.min(key).alias(key), F.count(F.lit(1)).alias("copies"))
+    grouped = marked.where("_repeat").select(key, "_exact").distinct().groupBy("_exact").agg(F.min(key).alias(key), F.count(F.lit(1)).alias("copies"))
     return single.unionByName(grouped.select(key, "copies"))

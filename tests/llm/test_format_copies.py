@@ -1,6 +1,8 @@
 from __future__ import annotations
 
-from sieveloom.llm.format_copies import canonical_case, collapsed, copies
+from pyspark.sql import functions as F
+
+from sieveloom.llm.format_copies import canonical_case, collapsed, copies, possible_repeats
 
 SCHEMA = "record_id bigint, id string, query string, expected array<string>, metadata_json string, _slice int, copies string"
 ROWS = [
@@ -26,14 +28,22 @@ def test_copies_and_singletons(spark):
     assert kept == {1: 2, 3: 1, 5: 2, 7: 1, 8: 2, 10: 1, 11: 2}
 
 
-def test_a_full_filter_changes_nothing(spark):
+def test_a_partitioned_filter_gives_the_same(spark):
     rows = [(i, f"id{i % 700}", "q", ["a"], None, 0, "") for i in range(2000)]
     df = spark.createDataFrame(rows, SCHEMA)
-    for bits in (1 << 16, 1 << 20):
-        found = {(r.kept_id, r.record_id) for r in copies(df, canonical_case(df), max_bits=bits).collect()}
+    for broadcast_bytes in (0, 1 << 25):
+        found = {(r.kept_id, r.record_id) for r in copies(df, canonical_case(df), broadcast_bytes=broadcast_bytes).collect()}
         assert found == {(i % 700, i) for i in range(700, 2000)}
 
 
+def test_few_singletons_pass_however_many_rows(spark):
+    for n in (2_000, 200_000):
+        df = spark.range(n).select(F.col("id").alias("record_id"))
+        for broadcast_bytes in (0, 1 << 25):
+            passed = possible_repeats(df, F.col("record_id").cast("string"), "record_id", broadcast_bytes, slice_bits=1 << 12).where("_repeat").count()
+            assert passed < 0.05 * n
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert copies(df, canonical_case(df)).count() == 0

@@ -8,22 +8,6 @@ from collections import Counter
 #: What stands for no answer (fixed values), compared without case and marks around.
 PLACEHOLDERS = {"", "null", "none", "nil", "undefined", "n/a", "na", "n.a.", "nan", "tbd", "todo", "tba", "no answer", "empty", "answer", "response", "final answer", "antwort", "réponse", "respuesta", "ответ", "unknown answer", "placeholder", "not available", "..."}
 
-#: Function words by language (fixed values).
-FUNCTION_WORDS = {
-    "en": "per never see rarely until such the of and to in is are was that it for on with as by at from which this be or an not when how where what does do why who while into before after them its their if than every must also only again",
-    "de": "auch zur zum vor gemäß bleiben warum gehören danach später zunächst der die das und ist sind nicht ein eine einen einem zu den dem des von für mit auf im wie wird werden wenn sobald wo wer welche welcher oder aus bei über sich seine ihre durch kann müssen es um ohne dass zwar ebenso",
-    "fr": "fin à été bref celui le la les des du de un une et est sont où qui que quelle quel pourquoi dans pour par avec sur ne pas avant après lorsque dès si ou aux au ses leur plus cette il elle être ont été jamais même",
-    "es": "qué función además resumen tamaño el la los las de del y es son qué cuál dónde por para con en una un no se si cuando después antes que al su sus como más sin están ha ningún según está también entre",
-    "ru": "и в не на что как где кто если когда для по из от при но а то его она они это только после чтобы или за уже нет о с к у почему какой файл том",
-    "pt": "o os as do da dos das em um uma não é são que para com por quando se ao pela pelo mais foi está sem até também entre como já seu sua",
-}
-#: Letters that are common in one of these languages alone (fixed values).
-OWN_LETTERS = {"de": "äöüß", "fr": "èêàçùîôœ", "es": "ñáíóú¿¡", "pt": "ãõ"}
-_BY_WORD: dict[str, list[str]] = {}
-for _lang, _words in FUNCTION_WORDS.items():
-    for _word in _words.split():
-        _BY_WORD.setdefault(_word, []).append(_lang)
-
 #: Words that no sentence ends with (fixed values).
 INNER_WORDS = set(
     "the a an and or but because since although though unless whereas than of with without into onto from by at for if while when whenever that which who whose such every its their our my these those as nor via per "
@@ -76,34 +60,13 @@ def prose(text: str) -> str:
     return text
 
 
-def asked_language(question: str) -> str | None:
-    """The language of a question, which may be quoted as a whole or have underscores for spaces."""
-    return language(_NAME.sub(" ", _INLINE_SIGNS.sub(" ", question)), plain=True)
+def plain_words(question: str) -> list[str]:
+    """The words of a question, which may be quoted as a whole or have underscores for spaces."""
+    return [w.lower() for w in _WORD.findall(_NAME.sub(" ", _INLINE_SIGNS.sub(" ", question)))]
 
 
-def language(text: str, plain: bool = False) -> str | None:
-    """The language of the prose of a text (of all its words if ``plain``), null where too little of it tells."""
-    words = [w.lower() for w in _WORD.findall(text if plain else prose(text))]
-    if len(words) < 3:
-        return None
-    cyrillic = sum("а" <= w[0] <= "я" or w[0] == "ё" for w in words)
-    if 2 * cyrillic > len(words):
-        return "ru"
-    if any("぀" <= c <= "ヿ" or "一" <= c <= "鿿" for c in text):
-        return "ja"
-    votes: Counter[str] = Counter()
-    for word in words:
-        known = _BY_WORD.get(word, ())
-        for lang in known:
-            votes[lang] += 1 / len(known)
-        for lang, letters in OWN_LETTERS.items():
-            if any(c in letters for c in word):
-                votes[lang] += 0.5
-    if not votes:
-        return None
-    (first, most), *rest = votes.most_common(2)
-    second = rest[0][1] if rest else 0
-    return first if most >= 1.5 and most >= 1.4 * second and most >= 0.12 * len(words) else None
+def prose_words(text: str) -> list[str]:
+    return [w.lower() for w in _WORD.findall(prose(text))]
 
 
 def empty(answer: str | None) -> bool:
@@ -140,7 +103,8 @@ def echo(question: str | None, answer: str) -> bool:
     fresh = [w for w in said if w not in asked and w not in _LABEL]
     joined = "".join(asked)
     fresh = [w for w in fresh if not (len(w) > 5 and any(w == a + b for a, b in zip(asked, [*asked][1:], strict=False)))] if joined else fresh
-    covered = sum(1 for w in asked if w in set(said))
+    given = set(said)
+    covered = sum(1 for w in asked if w in given)
     return len(fresh) <= max(1, 0.2 * len(said)) and covered >= 0.6 * len(asked)
 
 

@@ -14,6 +14,7 @@ import json
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -21,10 +22,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveloom.llm import answer_text as rules
+from sieveloom.llm.languages import Model, fit, other_language
 from sieveloom.plans.runtime import checkpoint, shuffle_partitions, spread
 
-#: A length is a limit if this many unfinished answers have it, and so many times the mean of the lengths around it.
-SPIKE_ROWS, SPIKE_TIMES, SPIKE_AROUND = 50, 8, 10
+#: A length is a limit if unfinished answers have it so many times as often as the lengths around it, and by so many
+#: standard deviations of a count like theirs.
+SPIKE_TIMES, SPIKE_DEVIATIONS, SPIKE_AROUND = 8, 8, 10
+#: A word never ends a sentence if it does so in this share of its places at most, of five at least.
+RARE_END = 0.01
 
 
 def _raw_state(raw: str | None, answer: str) -> str:
@@ -41,29 +46,33 @@ def _raw_state(raw: str | None, answer: str) -> str:
     return "cut" if tail and any(raw.rstrip().endswith(json.dumps(tail, ensure_ascii=a)[1:-1]) for a in (True, False)) else "other"
 
 
-def _rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, questions, answers, raws = (c.to_pylist() for c in batch.columns)
-        out: dict[str, list] = {k: [] for k in ("defect", "cut", "raw", "first", "second", "last", "length")}
-        for question, answer, raw in zip(questions, answers, raws, strict=True):
-            defect, cut, state, tail = None, False, "other", None
-            if rules.empty(answer):
-                defect = "empty"
-            elif rules.refusal(answer):
-                defect = "refusal"
-            elif rules.echo(question, answer):
-                defect = "echo"
-            else:
-                asked, said = rules.asked_language(question or ""), rules.language(answer)
-                if asked and said and asked != said:
+def _rules(model: Model):
+    """Judge every pair by itself; what its end shows is kept for the lookups among all answers."""
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = lru_cache(50_000)(lambda question: model.total(rules.plain_words(question)))
+        for batch in batches:
+            ids, questions, answers, raws = (c.to_pylist() for c in batch.columns)
+            out: dict[str, list] = {k: [] for k in ("defect", "cut", "raw", "first", "second", "last", "length")}
+            for question, answer, raw in zip(questions, answers, raws, strict=True):
+                defect, cut, state, tail = None, False, "other", None
+                if rules.empty(answer):
+                    defect = "empty"
+                elif rules.refusal(answer):
+                    defect = "refusal"
+                elif rules.echo(question, answer):
+                    defect = "echo"
+                elif other_language(asked(question or ""), model.total(rules.prose_words(answer))):
                     defect = "wrong_language"
                 else:
                     cut, state, tail = rules.visibly_cut(answer), _raw_state(raw, answer), rules.ends_openly(answer)
-            first, second, last = tail or (None, None, None)
-            for key, value in zip(out, (defect, cut, state, first, second, last, len(answer or "")), strict=True):
-                out[key].append(value)
-        types = [pa.string(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), *(pa.array(v, t) for v, t in zip(out.values(), types, strict=True))], names=["outcome_id", *out])
+                first, second, last = tail or (None, None, None)
+                for key, value in zip(out, (defect, cut, state, first, second, last, len(answer or "")), strict=True):
+                    out[key].append(value)
+            types = [pa.string(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), *(pa.array(v, t) for v, t in zip(out.values(), types, strict=True))], names=["outcome_id", *out])
+
+    return judge
 
 
 def _triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,16 +124,18 @@ def shortened_versions(texts: DataFrame) -> DataFrame:
     return found.where("kind = 'short'").select("text").unionByName(across.select("text"))
 
 
-def defects(outcomes: DataFrame) -> DataFrame:
+def defects(outcomes: DataFrame, labelled: DataFrame) -> DataFrame:
     """outcome_id and defect (empty, truncated, refusal, echo, wrong_language) of the defective rows of ``outcomes``.
 
+    ``labelled`` has texts with their language (text, lang), to which the language model is fitted.
+
     ``outcomes`` has outcome_id, question, answer and raw_prediction. A row has one defect at most, the first of the
     order empty, refusal, echo, wrong_language, truncated. A null question leaves echo and wrong_language out; a null
     raw_prediction only takes away evidence. Repeated rows give repeated results; other columns are ignored.
     """
     id_type = outcomes.schema["outcome_id"].dataType.simpleString()
     read = spread(outcomes.select("outcome_id", "question", "answer", "raw_prediction"))
-    judged = checkpoint(read.mapInArrow(_rules, f"outcome_id {id_type}, defect string, cut boolean, raw string, first string, second string, last string, length bigint"))
+    judged = checkpoint(read.mapInArrow(_rules(fit(labelled)), f"outcome_id {id_type}, defect string, cut boolean, raw string, first string, second string, last string, length bigint"))
     plain = judged.where("defect is not null").select("outcome_id", "defect")
     open_ends = judged.where("defect is null and not cut and last is not null")
 
@@ -144,8 +155,7 @@ def defects(outcomes: DataFrame) -> DataFrame:
             F.coalesce(F.sum("goes_on"), F.lit(0)).alias("any_goes_on"),
         )
     )
-    # Words that never end a sentence, however often they occur.
-    words = triples.groupBy("word").agg(F.sum("ends").alias("w_ends"), F.sum("goes_on").alias("w_goes_on")).where("w_ends = 0 and w_goes_on >= 5")
+    words = triples.groupBy("word").agg(F.sum("ends").alias("w_ends"), F.sum("goes_on").alias("w_goes_on")).where((F.col("w_goes_on") >= 5) & (F.col("w_ends") <= RARE_END * (F.col("w_ends") + F.col("w_goes_on"))))
     looked_up = looked_up.join(words.select(F.col("word").alias("last"), F.lit(True).alias("inner_word")), "last", "left")
     # Words that no ended sentence has and that begin another word were cut within.
     vocabulary = triples.select("word").distinct()
@@ -154,7 +164,8 @@ def defects(outcomes: DataFrame) -> DataFrame:
     looked_up = looked_up.join(cut_words.select(F.col("word").alias("last"), F.lit(True).alias("cut_word")), "last", "left")
     lengths = open_ends.groupBy("length").agg(F.count(F.lit(1)).alias("rows"))
     near = Window.orderBy("length").rangeBetween(-SPIKE_AROUND, SPIKE_AROUND)
-    spikes = lengths.withColumn("around", F.sum("rows").over(near)).where((F.col("rows") >= SPIKE_ROWS) & (F.col("rows") * (2 * SPIKE_AROUND) >= SPIKE_TIMES * (F.col("around") - F.col("rows"))))
+    usual = (F.sum("rows").over(near) - F.col("rows")) / (2 * SPIKE_AROUND)
+    spikes = lengths.withColumn("usual", usual).where((F.col("rows") >= SPIKE_TIMES * F.col("usual")) & (F.col("rows") - F.col("usual") >= SPIKE_DEVIATIONS * F.sqrt(F.col("usual") + 1)))
     short = shortened_versions(outcomes.select("answer"))
     short_ids = outcomes.select("outcome_id", "answer").join(short.withColumnRenamed("text", "answer"), "answer", "left_semi").select("outcome_id").distinct().withColumn("short", F.lit(True))
 

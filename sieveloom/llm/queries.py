@@ -99,7 +99,7 @@ def p2_within_bound(spark: SparkSession, d: str) -> DataFrame:
 
 @register("p3_found")
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return defects.defects(table(spark, d, "answer_outcomes"))
+    return defects.defects(table(spark, d, "answer_outcomes"), table(spark, d, "documents").select("text", "lang"))
 
 
 # 4: top N items within every group

@@ -6,6 +6,7 @@ import pytest
 
 from sieveloom.llm import answer_text as rules
 from sieveloom.llm.defects import defects, shortened_versions
+from sieveloom.llm.languages import fit, other_language
 
 WHOLE = ["The reader logs a warning, drops the cold tags and carries on.", "Each writer owns its shards; the review module only borrows them.", "The default is 9, but large fonts may raise it to 7 without asking the proxy."]
 
@@ -37,14 +38,34 @@ def test_refusal(text, refused):
     assert rules.refusal(text) is refused
 
 
-def test_echo_and_language():
+def test_echo():
     q = "Where does the reader convert fonts into tags for the proxy?"
     assert rules.echo(q, "Question: where does the reader convert fonts into tags for the proxy?")
     assert rules.echo(q, f"{q}\n\n{q}")
     assert not rules.echo(q, "The reader converts fonts when the proxy restarts, see the journal of the module.")
-    assert rules.language("Если версия устарела, то ключи приходится читать заново.") == "ru"
-    assert rules.language("Wenn ein Schlüssel fehlt, müssen die Kürzel neu geschrieben werden.") == "de"
-    assert rules.language("```python\nreturn 1\n```") is None
+
+
+LABELLED = {
+    "en": "The reader logs a warning when the cold tags are dropped and carries on. What happens to the writer after the restart? Each module owns its shards, and the default is set by the review. Where does it convert fonts for the proxy?",
+    "de": "Die Prüfung schlägt fehl, sobald der Speicher nicht genügt und die Datei fehlt. Wenn ein Schlüssel fehlt, müssen die Kürzel neu geschrieben werden. Was geschieht mit den Daten nach dem Neustart?",
+    "ru": "Если версия устарела, то ключи приходится читать заново. Проверка завершается ошибкой, когда память заканчивается. Что происходит с данными после запуска?",
+}
+
+
+def _labelled(spark):
+    return spark.createDataFrame([(lang, text, i) for lang, text in LABELLED.items() for i in range(3)] + [(None, "x", 0), ("en", None, 0)], "lang string, text string, n int")
+
+
+def test_languages(spark):
+    model = fit(_labelled(spark))
+    assert model.languages == ["de", "en", "ru"]
+    scores = {lang: model.total(rules.prose_words(text)) for lang, text in {"ru": "Ключи устарели, память читать заново.", "de": "Wenn der Speicher fehlt, schlägt die Prüfung fehl.", "en": "When the writer drops the tags it logs a warning."}.items()}
+    for lang, found in scores.items():
+        assert max(found, key=found.get) == lang
+    assert other_language(scores["en"], scores["de"]) and not other_language(scores["de"], scores["de"])
+    code = model.total(rules.prose_words("```python\nreturn 1\n```"))
+    assert code == {} and not other_language(scores["en"], code) and not other_language({}, scores["en"])
+    assert fit(_labelled(spark).limit(0)).total(["the", "reader", "logs"]) == {}
 
 
 def _rows():
@@ -71,9 +92,9 @@ def _rows():
 
 def test_table(spark):
     df = spark.createDataFrame(_rows(), "outcome_id bigint, question string, answer string, raw_prediction string").selectExpr("*", "1 as defect", "2 as length")
-    found = sorted((r.outcome_id, r.defect) for r in defects(df).collect())
+    found = sorted((r.outcome_id, r.defect) for r in defects(df, _labelled(spark)).collect())
     assert found == [(101, "truncated"), (102, "truncated"), (103, "truncated"), (104, "truncated"), (105, "empty"), (105, "empty"), (106, "refusal"), (107, "echo"), (108, "wrong_language")]
-    assert defects(df.limit(0)).count() == 0
+    assert defects(df.limit(0), _labelled(spark)).count() == 0
 
 
 def test_shortened_versions(spark):

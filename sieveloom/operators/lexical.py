@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveloom.functions import text as t
-from sieveloom.plans.runtime import shuffle_partitions
+from sieveloom.plans.runtime import checkpoint, shuffle_partitions
 
 K1, B = 1.2, 0.75
 #: Query terms up to this number are broadcast (about 40 MB); beyond it the joins shuffle by term.
 BROADCAST_TERMS = 1_000_000
+#: Ranks that are looked up for a query's least score, and what scores may differ by and yet tie when rounded.
+DEEPEST, TIE = 256, 2e-6
 
 
 def ranked(df: DataFrame, per: list[str], order: list[Column], limit: int | None = None, name: str = "rank") -> DataFrame:
@@ -46,25 +48,89 @@ def document_frequency(index: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def bm25(items: DataFrame, key: str, tokens: Column, queries: DataFrame, k1: float = K1, b: float = B, distinct_terms: bool = True, least_avgdl: float = 1.0) -> DataFrame:
-    """query_id, ``key`` and score of every item that shares a term with a query.
+def _asked(queries: DataFrame, distinct_terms: bool = True) -> DataFrame:
+    """query_id, term and how often the query has it."""
+    asked = queries.select("query_id", F.explode(F.array_distinct("terms") if distinct_terms else F.col("terms")).alias("term"))
+    return asked.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
-    ``queries`` has query_id and terms (array). Items are tokenised once; only postings of query terms are kept, so
-    the exchange grows with what the queries ask for. Empty items have no postings but count in the collection.
-    """
+
+def _bm25_parts(items: DataFrame, key: str, tokens: Column, asked: DataFrame, small: bool, k1: float, b: float, least_avgdl: float) -> tuple[DataFrame, DataFrame]:
+    """What a term adds to an item's score but for the query's weight (``key``, term, part, by item); items and mean length."""
     sized = items.select(key, tokens.alias("_tokens")).select(key, "_tokens", F.greatest(F.lit(0), F.size("_tokens")).alias("dl"))
     stats = sized.agg(F.count(F.lit(1)).alias("n"), F.greatest(F.avg("dl"), F.lit(least_avgdl)).alias("avgdl"))
-    asked = queries.select("query_id", F.explode(F.array_distinct("terms") if distinct_terms else F.col("terms")).alias("term"))
-    asked = asked.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    small = asked.count() <= BROADCAST_TERMS
     found = sized.select(key, "dl", F.explode("_tokens").alias("term")).join(_sized(asked.select("term").distinct(), small), "term", "left_semi")
     # By item alone: counting, scoring and adding up then need no further exchange.
-    posted = found.repartition(shuffle_partitions(items.sparkSession), key).groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    frequencies = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = asked.join(frequencies, "term").crossJoin(F.broadcast(stats)).select("query_id", "term", "avgdl", (idf * F.col("qtf")).alias("weight"))
+    counted = found.repartition(shuffle_partitions(items.sparkSession), key).groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return posted.join(_sized(weights, small), "term").groupBy("query_id", key).agg(F.sum(F.col("weight") * part).alias("score"))
+    return counted.crossJoin(F.broadcast(stats)).select(key, "term", part.alias("part")), stats
+
+
+def _idf(n: str, df: str) -> Column:
+    return F.log(1 + (F.col(n) - F.col(df) + 0.5) / (F.col(df) + 0.5))
+
+
+def bm25(items: DataFrame, key: str, tokens: Column, queries: DataFrame, k1: float = K1, b: float = B, distinct_terms: bool = True, least_avgdl: float = 1.0) -> DataFrame:
+    """query_id, ``key`` and score of every item that shares a term with a query. For the best items only, see ``bm25_top``.
+
+    ``queries`` has query_id and terms (array). Items are tokenised once; only postings of query terms are kept, so
+    the exchange grows with what the queries ask for. Empty items have no postings but count in the collection.
+    """
+    asked = _asked(queries, distinct_terms)
+    small = asked.count() <= BROADCAST_TERMS
+    parts, stats = _bm25_parts(items, key, tokens, asked, small, k1, b, least_avgdl)
+    weights = asked.join(document_frequency(parts), "term").crossJoin(F.broadcast(stats)).select("query_id", "term", (_idf("n", "df") * F.col("qtf")).alias("weight"))
+    return parts.join(_sized(weights, small), "term").groupBy("query_id", key).agg(F.sum(F.col("weight") * F.col("part")).alias("score"))
+
+
+def bm25_top(items: DataFrame, key: str, tokens: Column, queries: DataFrame, k: int = 10, k1: float = K1, b: float = B, distinct_terms: bool = True, least_avgdl: float = 1.0) -> DataFrame:
+    """query_id, ``key`` and score of every item that may be among the ``k`` best of a query; a column k of ``queries`` goes first.
+
+    The scores are whole and no item of the best ``k`` is missing (nor one that ties with them in six digits). The k-th
+    score among a part of the items is at most that among all. Terms that cannot reach it together (the frequent ones)
+    bring no candidates: they only add to items that another term has found and that can still get there. A query whose
+    k is beyond ``DEEPEST`` scores all its items.
+    """
+    asked = _asked(queries, distinct_terms)
+    small = asked.count() <= BROADCAST_TERMS
+    parts, stats = _bm25_parts(items, key, tokens, asked, small, k1, b, least_avgdl)
+    parts = checkpoint(parts)
+    by_item = parts.repartition(shuffle_partitions(items.sparkSession), key)
+    wanted = queries.select("query_id", (F.col("k") if "k" in queries.columns else F.lit(k)).cast("int").alias("_k"))
+    terms = parts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("part").alias("most"))
+    weights = asked.join(terms, "term").crossJoin(F.broadcast(stats)).select("query_id", "term", (_idf("n", "df") * F.col("qtf")).alias("weight"), "most")
+    weights = checkpoint(weights)
+    total = lambda some, by: some.join(_sized(by.select("query_id", "term", "weight"), small), "term").groupBy("query_id", key).agg(F.sum(F.col("weight") * F.col("part")).alias("score"))
+    floors = kth_score(total(a_part(by_item, key), weights), wanted)
+    own = Window.partitionBy("query_id")
+    # The terms of one query: their bounds added up from the smallest.
+    upto = F.sum(F.col("weight") * F.col("most")).over(own.orderBy(F.col("weight") * F.col("most"), "term").rowsBetween(Window.unboundedPreceding, 0))
+    bounded = weights.join(floors, "query_id", "left").withColumn("_floor", F.coalesce(F.col("_floor") - TIE, F.lit(0.0))).withColumn("_upto", upto)
+    bounded = bounded.withColumn("_leads", F.col("_upto") >= F.col("_floor")).withColumn("_rest", F.coalesce(F.max(F.when(~F.col("_leads"), F.col("_upto"))).over(own), F.lit(0.0)))
+    bounded = checkpoint(bounded.select("query_id", "term", "weight", "_floor", "_leads", "_rest"))
+    partial = total(by_item, bounded.where("_leads"))
+    limits = bounded.select("query_id", "_floor", "_rest").distinct().join(_kth_step(partial, wanted), "query_id", "left")
+    limits = limits.select("query_id", "_rest", F.greatest("_floor", F.coalesce(F.col("_step") - TIE, F.lit(0.0))).alias("_floor"))
+    alive = partial.join(_sized(limits, small), "query_id").where(F.col("score") + F.col("_rest") >= F.col("_floor")).select("query_id", key, "score")
+    following = bounded.where("not _leads").select("query_id", "term", "weight")
+    more = alive.select("query_id", key).join(_sized(following, small), "query_id").join(parts, [key, "term"]).select("query_id", key, (F.col("weight") * F.col("part")).alias("score"))
+    return alive.unionByName(more).groupBy("query_id", key).agg(F.sum("score").alias("score"))
+
+
+def _kth_step(scored: DataFrame, wanted: DataFrame, steps: int = 32) -> DataFrame:
+    """query_id and _step, a lower bound of the score at rank _k: scores are counted in steps of 1 / ``steps``, not sorted."""
+    counted = scored.groupBy("query_id", F.floor(F.col("score") * steps).alias("_bin")).agg(F.count(F.lit(1)).alias("_n"))
+    above = F.sum("_n").over(Window.partitionBy("query_id").orderBy(F.col("_bin").desc()).rowsBetween(Window.unboundedPreceding, 0))
+    return counted.withColumn("_above", above).join(wanted, "query_id").where(F.col("_above") >= F.col("_k")).groupBy("query_id").agg((F.max("_bin") / steps).alias("_step"))
+
+
+def a_part(rows: DataFrame, key: str) -> DataFrame:
+    """A sixteenth of the items, by a hash: only for lower bounds of what the best of all reach, never for results."""
+    return rows.where(F.pmod(F.xxhash64(key), F.lit(16)) == 0)
+
+
+def kth_score(scored: DataFrame, wanted: DataFrame) -> DataFrame:
+    """query_id and _floor, the score at the rank _k of ``wanted``; queries with fewer items or a deeper rank have no row."""
+    return ranked(scored, ["query_id"], [F.col("score").desc()], DEEPEST, "_k").join(wanted, ["query_id", "_k"]).select("query_id", F.col("score").alias("_floor"))
 
 
 def _sized(df: DataFrame, small: bool) -> DataFrame:
@@ -82,15 +148,30 @@ def coverage(items: DataFrame, key: str, fields: dict[str, Column], queries: Dat
 
     Fields are arrays of terms. The join runs over terms, never over all pairs.
     """
-    own = None
-    for name, terms in fields.items():
-        part = items.select(key, F.explode(F.array_distinct(terms)).alias("term"), F.lit(name).alias("_field"))
-        own = part if own is None else own.unionByName(part)
+    flags = {name: 1 << i for i, name in enumerate(fields)}
+
+    def flagged(terms: Column, flag: int) -> Column:
+        return F.transform(F.array_distinct(F.coalesce(terms, F.array().cast("array<string>"))), lambda w: F.struct(w.alias("term"), F.lit(flag).alias("_flag")))
+
+    each = [flagged(terms, flags[name]) for name, terms in fields.items()]
     asked = queries.select("query_id", F.size(F.array_distinct("terms")).alias("_size"), F.explode(F.array_distinct("terms")).alias("term"))
     small = asked.count() <= BROADCAST_TERMS
-    wanted = own.join(_sized(asked.select("term").distinct(), small), "term", "left_semi")
-    counts = [(F.count_if(F.col("_field") == name) / F.first("_size")).alias(name) for name in fields]
-    return wanted.repartition(shuffle_partitions(items.sparkSession), key).join(_sized(asked, small), "term").groupBy("query_id", key).agg(*counts)
+    # One row per item and term, whatever fields have it; by item alone, so that adding up needs no exchange.
+    own = items.select(key, F.inline(F.concat(*each))).join(_sized(asked.select("term").distinct(), small), "term", "left_semi")
+    wanted = own.repartition(shuffle_partitions(items.sparkSession), key).groupBy(key, "term").agg(F.bit_or("_flag").alias("_flags"))
+    counts = [(F.count_if(F.col("_flags").bitwiseAND(flag) > 0) / F.first("_size")).alias(name) for name, flag in flags.items()]
+    return wanted.join(_sized(asked, small), "term").groupBy("query_id", key).agg(*counts)
+
+
+def coverage_top(items: DataFrame, key: str, fields: dict[str, Column], queries: DataFrame, score: Column, k: int) -> DataFrame:
+    """The rows of ``coverage`` that may be among the ``k`` best of a query by ``score`` (an expression over the shares), with it.
+
+    What a sixteenth of the items reaches at rank k drops the others before anything is sorted.
+    """
+    scored = coverage(items, key, fields, queries).withColumn("score", score)
+    floors = kth_score(coverage(a_part(items, key), key, fields, queries).withColumn("score", score), queries.select("query_id", F.lit(k).alias("_k")))
+    small = queries.count() <= BROADCAST_TERMS
+    return scored.join(_sized(checkpoint(floors), small), "query_id", "left").where(F.col("_floor").isNull() | (F.col("score") >= F.col("_floor") - TIE)).drop("_floor")
 
 
 def lexical_score(content: Column, title: Column) -> Column:

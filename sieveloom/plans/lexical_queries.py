@@ -124,7 +124,7 @@ def _top(scored: DataFrame) -> DataFrame:
 @register("bm25_topk", _bm25_sql(1.2, 0.75, True, 1))
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     """The ten best items of every distinct query."""
-    return _top(lexical.bm25(items(spark, d), "item_id", t.word_tokens(F.col("content")), requests(spark, d)))
+    return _top(lexical.bm25_top(items(spark, d), "item_id", t.word_tokens(F.col("content")), requests(spark, d)))
 
 
 @register("bm25_repeated_terms", _bm25_sql(1.2, 0.75, False, 0))
@@ -132,13 +132,13 @@ def bm25_repeated_terms(spark: SparkSession, d: str) -> DataFrame:
     """The variant where a term counts as often as the query has it and short collections are not padded."""
     asked = table(spark, d, "search_requests").where("query is not null").groupBy("query").agg(F.min("request_id").alias("query_id"))
     terms = F.filter(t.identifier_tokens(F.col("query")), lambda x: ((F.length(x) >= 3) | x.isin(*t.ALIASES)) & ~x.isin(t.STOP_WORDS) & x.rlike(r"[\p{L}\p{N}]"))
-    return _top(lexical.bm25(items(spark, d), "item_id", t.word_tokens(F.col("content")), asked.select("query_id", terms.alias("terms")), distinct_terms=False, least_avgdl=0.0))
+    return _top(lexical.bm25_top(items(spark, d), "item_id", t.word_tokens(F.col("content")), asked.select("query_id", terms.alias("terms")), distinct_terms=False, least_avgdl=0.0))
 
 
 @register("bm25_alias_locator", _bm25_sql(1.2, 0.35, True, 1))
 def bm25_alias_locator(spark: SparkSession, d: str) -> DataFrame:
     """The locator's weaker length normalisation."""
-    return _top(lexical.bm25(items(spark, d), "item_id", t.word_tokens(F.col("content")), requests(spark, d), b=0.35))
+    return _top(lexical.bm25_top(items(spark, d), "item_id", t.word_tokens(F.col("content")), requests(spark, d), b=0.35))
 
 
 @register("query_terms", f"with {ASKED} x as (select 1) select query_id, term from terms")
@@ -184,8 +184,8 @@ COVERAGE = f"""
 def coverage_seeds(spark: SparkSession, d: str) -> DataFrame:
     """The best files of every query by the share of its terms in content, title and path."""
     fields = {c: t.identifier_tokens(F.col(c)) for c in ("content", "title", "path")}
-    shares = lexical.coverage(items(spark, d), "item_id", fields, requests(spark, d))
-    scored = shares.select("query_id", "item_id", lexical.lexical_score(F.col("content"), F.col("title")).alias("lexical"), "path")
+    shares = lexical.coverage_top(items(spark, d), "item_id", fields, requests(spark, d), lexical.lexical_score(F.col("content"), F.col("title")), 20)
+    scored = shares.select("query_id", "item_id", F.col("score").alias("lexical"), "path")
     top = lexical.ranked(scored, ["query_id"], [F.round("lexical", 6).desc(), F.round("path", 6).desc(), F.col("item_id")], 20)
     return rounded(top.select("query_id", "item_id", "rank", "lexical", "path"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,6 +33,11 @@ ALIASES = {
 MIN_TOKEN_LENGTH = 3
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _not_empty(words: Column) -> Column:
     return F.filter(words, lambda w: w != "")
 
@@ -71,7 +78,8 @@ def stem_tokens(text: Column) -> Column:
 
 def role_tokens(name: Column) -> Column:
     """Parts of a file name in lower case, at camel case, acronym and separator boundaries."""
-    return _not_empty(F.transform(F.split(name, r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|[_\-.\s]+"), F.lower))
+    spaced = F.regexp_replace(F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1 $2"), "([A-Z])([A-Z][a-z])", "$1 $2")
+    return _not_empty(F.split(F.lower(spaced), r"[\s._-]+"))
 
 
 def query_terms(text: Column, min_length: int = MIN_TOKEN_LENGTH, expand: bool = False) -> Column:

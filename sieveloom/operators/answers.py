@@ -50,7 +50,7 @@ def pairwise(outcomes: DataFrame, case: str, arm: str, value: str) -> DataFrame:
 def rounds_merged(results: DataFrame, decay: float = 0.85, limit: int = 10) -> DataFrame:
     """Results of several rounds added up per item, a later round at ``decay`` ** round."""
     merged = results.groupBy("query_id", "item_id").agg(F.sum(F.col("score") * F.pow(F.lit(decay), F.col("round"))).alias("score"))
-    return ranked(merged, ["query_id"], [F.round("score", 9).desc(), F.col("item_id")], limit)
+    return ranked(merged, ["query_id"], [F.round(F.col("score") + 1e-10, 8).desc(), F.col("item_id")], limit)
 
 
 def weight_grid(candidates: DataFrame, signals: list[str], steps: int, target: str) -> DataFrame:

@@ -29,7 +29,9 @@ def import_edges(files: DataFrame, most: int = 64) -> DataFrame:
         named = part if named is None else named.unionByName(part)
     wanted = named.select("src", _module_key(F.col("name")).alias("module")).distinct()
     targets = files.select(F.col("path").alias("dst"), _module_key(stem(F.col("path"))).alias("module"))
-    found = wanted.join(targets, "module").where("src != dst").select("src", "dst").distinct()
+    # No more than the first targets of a module can be among the first of a file: a common stem is cut before the join.
+    first = ranked(targets, ["module"], [F.col("dst")], most + 1, "_n").drop("_n")
+    found = wanted.join(first, "module").where("src != dst").select("src", "dst").distinct()
     return ranked(found, ["src"], [F.col("dst")], most).select("src", "dst", F.lit("imports").alias("kind"), F.lit(EDGE_WEIGHTS["imports"]).alias("weight"))
 
 
@@ -49,15 +51,42 @@ def reference_edges(files: DataFrame, most: int = 24) -> DataFrame:
 def symbol_edges(files: DataFrame, most: int = 24) -> DataFrame:
     """src, dst, kind, weight from camel-case names in the text to the files that have the name as title."""
     named = files.select(F.col("path").alias("src"), F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"\b([A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+)\b"), 1))).alias("title"))
-    found = named.join(files.select(F.col("path").alias("dst"), "title"), "title").where("src != dst").select("src", "dst").distinct()
+    titled = ranked(files.where("title is not null").select(F.col("path").alias("dst"), "title"), ["title"], [F.col("dst")], most + 1, "_n").drop("_n")
+    found = named.join(titled, "title").where("src != dst").select("src", "dst").distinct()
     return ranked(found, ["src"], [F.col("dst")], most).select("src", "dst", F.lit("references").alias("kind"), F.lit(0.7).alias("weight"))
 
 
-def together_edges(cases: DataFrame, most: int = 64) -> DataFrame:
-    """src, dst, kind, weight from every file that a case expects to the one named after it; patterns are left out."""
-    pairs = cases.where("size(expected) > 1").select(F.arrays_zip(F.slice("expected", F.lit(1), F.size("expected") - 1).alias("a"), F.slice("expected", F.lit(2), F.size("expected") - 1).alias("b")).alias("z"))
-    found = pairs.select(F.inline("z")).toDF("src", "dst").where("src != dst and src not like 'glob:%' and dst not like 'glob:%'").distinct()
-    return ranked(found, ["src"], [F.col("dst")], most).select("src", "dst", F.lit("summarizes").alias("kind"), F.lit(EDGE_WEIGHTS["summarizes"]).alias("weight"))
+def call_edges(files: DataFrame, imports: DataFrame, most: int = 20) -> DataFrame:
+    """src, dst, kind, weight from Python files to those that declare a function they call, at most ``most`` per file.
+
+    A name that the file declares itself is its own. Of several files that declare a name an imported one goes first,
+    then the first by path. A common name is one row before the join, however many files declare it.
+    """
+    python = files.where("code_language = 'python'")
+    names = lambda pattern, column: python.select(F.col("path").alias(column), F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(pattern), 1))).alias("name"))
+    declared = names(r"(?m)^[ \t]*(?:async[ \t]+)?def[ \t]+(\w+)", "dst")
+    called = names(r"\b([A-Za-z_]\w*)\(", "src").join(declared.withColumnRenamed("dst", "src"), ["src", "name"], "left_anti")
+    first = declared.groupBy("name").agg(F.min("dst").alias("_first"))
+    imported = called.join(imports.select("src", "dst"), "src").join(declared, ["dst", "name"]).groupBy("src", "name").agg(F.min("dst").alias("_imported"))
+    chosen = called.join(first, "name").join(imported, ["src", "name"], "left").select("src", F.coalesce("_imported", "_first").alias("dst")).where("src != dst").distinct()
+    return ranked(chosen, ["src"], [F.col("dst")], most).select("src", "dst", F.lit("calls").alias("kind"), F.lit(EDGE_WEIGHTS["calls"]).alias("weight"))
+
+
+def summary_edges(spans: DataFrame, key: str, most: int = 80) -> DataFrame:
+    """src, dst, kind, weight from every file, as the item that summarizes it, to its first ``most`` items by start line and key."""
+    first = ranked(spans, ["path"], [F.col("start_line").asc_nulls_last(), F.col(key)], most)
+    return first.select(F.col("path").alias("src"), F.col(key).alias("dst"), F.lit("summarizes").alias("kind"), F.lit(EDGE_WEIGHTS["summarizes"]).alias("weight"))
+
+
+def symbol_parents(symbols: DataFrame) -> DataFrame:
+    """src, dst, kind, weight from the symbol ``A`` of a file to its ``A.b``; of equal symbols the last by line counts.
+
+    ``symbols`` has path, symbol and line.
+    """
+    last = symbols.groupBy("path", "symbol").agg(F.max("line").alias("line"))
+    child = last.where(F.contains("symbol", F.lit("."))).select("path", F.regexp_replace("symbol", r"\.[^.]*$", "").alias("parent"), "symbol")
+    found = child.join(last.select("path", F.col("symbol").alias("parent")), ["path", "parent"])
+    return found.select("path", F.col("parent").alias("src"), F.col("symbol").alias("dst"), F.lit("contains").alias("kind"), F.lit(0.85).alias("weight"))
 
 
 def all_edges(*kinds: DataFrame) -> DataFrame:
@@ -82,7 +111,7 @@ def fan_in(edges: DataFrame) -> DataFrame:
 
 def neighbours(graph: DataFrame, most: int) -> DataFrame:
     """The heaviest neighbours of every node; ties by name."""
-    return ranked(graph, ["src"], [F.col("weight").desc(), F.col("dst")], most, "_n").drop("_n")
+    return ranked(graph, ["src"], [F.round("weight", 9).desc(), F.col("dst")], most, "_n").drop("_n")
 
 
 def propagate(graph: DataFrame, seeds: DataFrame, depth: int = 2, decay: float = 0.65, seed_limit: int = 120, neighbour_limit: int = 40, frontier_limit: int = 40) -> DataFrame:
@@ -92,13 +121,13 @@ def propagate(graph: DataFrame, seeds: DataFrame, depth: int = 2, decay: float =
     neighbours, and only the best nodes of a step pass on further. The few steps are unrolled in the plan.
     """
     near = neighbours(graph, neighbour_limit)
-    frontier = ranked(seeds, ["query_id"], [F.col("score").desc(), F.col("path")], seed_limit, "_n").drop("_n")
+    frontier = ranked(seeds, ["query_id"], [F.round("score", 9).desc(), F.col("path")], seed_limit, "_n").drop("_n")
     steps: DataFrame | None = None
     for s in range(depth):
         passed = frontier.join(near.withColumnRenamed("src", "path"), "path").select("query_id", F.col("dst").alias("path"), (F.col("score") * F.col("weight") * decay ** (s + 1)).alias("score"))
         best = passed.where("score > 0").groupBy("query_id", "path").agg(F.max("score").alias("score"))
         steps = best if steps is None else steps.unionByName(best)
-        frontier = ranked(best, ["query_id"], [F.col("score").desc(), F.col("path")], frontier_limit, "_n").drop("_n")
+        frontier = ranked(best, ["query_id"], [F.round("score", 9).desc(), F.col("path")], frontier_limit, "_n").drop("_n")
     return steps.groupBy("query_id", "path").agg(F.max("score").alias("score"))
 
 
@@ -110,9 +139,9 @@ def expand(graph: DataFrame, seeds: DataFrame, depth: int = 2, decay: float = 0.
         passed = frontier.join(graph.withColumnRenamed("src", "path"), "path").select("query_id", F.col("dst").alias("path"), (F.col("score") * F.col("weight") * decay**s).alias("score"))
         best = passed.where(F.col("score") > least).groupBy("query_id", "path").agg(F.max("score").alias("score"))
         reached = best if reached is None else reached.unionByName(best)
-        better = best.join(seen.withColumnRenamed("score", "_seen"), ["query_id", "path"], "left").where(F.col("_seen").isNull() | (F.col("score") > F.col("_seen"))).drop("_seen")
+        better = best.join(seen.withColumnRenamed("score", "_seen"), ["query_id", "path"], "left").where(F.col("_seen").isNull() | (F.round("score", 9) > F.round("_seen", 9))).drop("_seen")
         seen = seen.unionByName(best).groupBy("query_id", "path").agg(F.max("score").alias("score"))
-        frontier = ranked(better, ["query_id"], [F.col("score").desc(), F.col("path")], frontier_limit, "_n").drop("_n")
+        frontier = ranked(better, ["query_id"], [F.round("score", 9).desc(), F.col("path")], frontier_limit, "_n").drop("_n")
     return reached.groupBy("query_id", "path").agg(F.max("score").alias("score"))
 
 
@@ -122,7 +151,7 @@ def typed_neighbours(edges: DataFrame, seeds: DataFrame, forward: dict[str, floa
     out = edges.select(F.col("src").alias("path"), F.col("dst").alias("neighbour"), (F.col("weight") * table(forward)).alias("weight"))
     back = edges.select(F.col("dst").alias("path"), F.col("src").alias("neighbour"), (F.col("weight") * table(backward)).alias("weight"))
     both = out.unionByName(back).where("weight > 0").groupBy("path", "neighbour").agg(F.max("weight").alias("weight"))
-    return ranked(seeds.select("query_id", "path").join(both, "path"), ["query_id", "path"], [F.col("weight").desc(), F.col("neighbour")], limit)
+    return ranked(seeds.select("query_id", "path").join(both, "path"), ["query_id", "path"], [F.round("weight", 9).desc(), F.col("neighbour")], limit)
 
 
 def next_in_file(spans: DataFrame, key: str) -> DataFrame:

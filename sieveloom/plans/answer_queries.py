@@ -45,11 +45,13 @@ def pairwise_models(spark: SparkSession, d: str) -> DataFrame:
 @register(
     "rounds_merged",
     RUNS
-    + ", s as (select query_id, item_id, sum(score * pow(0.8513713719, least(variant, 2))) as score from runs where variant <= 2 group by all), r as (select query_id, item_id, round(score, 6) as score, row_number() over (partition by query_id order by round(score, 9) desc, item_id) as rank from s) select * from r where rank <= 10",
+    + ", s as (select query_id, item_id, sum(score * pow(0.85, variant)) as score from runs group by all), r as (select query_id, item_id, round(score + 1e-10, 6) as score, row_number() over (partition by query_id order by round(score + 1e-10, 8) desc, item_id) as rank from s) select * from r where rank <= 10",
 )
 def rounds_merged(spark: SparkSession, d: str) -> DataFrame:
-    """The lists of all requests of a query text; the SQL above still takes three of them, at another decay."""
-    return rounded(answers.rounds_merged(runs(spark, d).withColumn("round", F.col("variant"))))
+    """The lists of all requests of a query text."""
+    merged = answers.rounds_merged(runs(spark, d).withColumn("round", F.col("variant")))
+    # Sums that end in exactly half a unit must not be rounded by the order of adding up.
+    return rounded(merged.withColumn("score", F.col("score") + 1e-10))
 
 
 @register(
@@ -64,7 +66,7 @@ def weight_grid(spark: SparkSession, d: str) -> DataFrame:
     return rounded(answers.weight_grid(candidates(spark, d), ["vector", "lexical", "symbol"], 4, "vector"))
 
 
-@register("embedding_texts", "select item_id, substr('title: ' || coalesce(title, path) || ' | path: ' || path || ' | text: ' || coalesce(content, ''), 1, 1440) as text from code_items")
+@register("embedding_texts", "select item_id, 'title: ' || coalesce(title, path) || ' | path: ' || path || ' | text: ' || coalesce(content, '') as text from code_items")
 def embedding_texts(spark: SparkSession, d: str) -> DataFrame:
     return items(spark, d).select("item_id", answers.embedding_text(F.col("title"), F.col("path"), F.col("content")).alias("text"))
 

@@ -182,10 +182,11 @@ def bigram_overlap(spark: SparkSession, d: str) -> DataFrame:
 @register(
     "confusion_matrix",
     "select split, count(*) filter (source = 'handwritten') as handwritten, count(*) filter (source = 'issue_mined') as issue_mined, count(*) filter (source = 'log_mined') as log_mined, "
-    "count(*) filter (source = 'synthetic_where') as synthetic_where from eval_cases group by split",
+    "count(*) filter (source = 'synthetic_where') as synthetic_where, count(*) filter (source = 'translated') as translated, "
+    "count(*) filter (source is null or source not in ('handwritten', 'issue_mined', 'log_mined', 'synthetic_where', 'translated')) as other from eval_cases group by split",
 )
 def confusion_matrix(spark: SparkSession, d: str) -> DataFrame:
-    """Cases by split and source; the SQL above still lacks the columns translated and other."""
+    """Cases by split and source."""
     return evaluate.pivot_counts(table(spark, d, "eval_cases"), "split", "source", ["handwritten", "issue_mined", "log_mined", "synthetic_where", "translated"])
 
 

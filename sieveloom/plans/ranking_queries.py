@@ -305,17 +305,27 @@ EDGES_SQL = r"""
     e as (select *, row_number() over (partition by src order by dst) as rn from (select distinct src, dst from wanted join targets using (module) where src <> dst)),
     named as (select distinct path as src, unnest(regexp_extract_all(content, '\b([A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+)\b', 1)) as title from code_items),
     y as (select *, row_number() over (partition by src order by dst) as rn from (select distinct src, path as dst from named join code_items using (title) where src <> path)),
-    imports as (select src, dst, 'imports' as kind, 0.8 as weight from e where rn <= 64),
-    pairs as (select distinct unnest(expected[:-2]) as src, unnest(expected[2:]) as dst from eval_cases where len(expected) > 1),
-    t as (select *, row_number() over (partition by src order by dst) as rn from pairs where src <> dst and src not like 'glob:%' and dst not like 'glob:%'),
-    edges as (select * from imports union all select src, dst, 'references' as kind, 0.7 as weight from y where rn <= 24 union all select src, dst, 'summarizes', 0.7 from t where rn <= 64),
-    adj as (select src, dst, max(w) as weight from (select src, dst, weight as w from edges union all select dst, src, weight * 0.7 from edges) group by all)
+    imports as (select src, dst, 'imports' as kind, 0.8::double as weight from e where rn <= 64),
+    declared as (select distinct path as dst, unnest(regexp_extract_all(content, '(?m)^[ \t]*(?:async[ \t]+)?def[ \t]+(\w+)', 1)) as name from code_items where code_language = 'python'),
+    called as (select * from (select distinct path as src, unnest(regexp_extract_all(content, '\b([A-Za-z_]\w*)\(', 1)) as name from code_items where code_language = 'python') c where not exists (select 1 from declared d where d.dst = c.src and d.name = c.name)),
+    near_calls as (select c.src, c.name, min(d.dst) as dst from called c join imports i on i.src = c.src join declared d on d.dst = i.dst and d.name = c.name group by all),
+    chosen as (select distinct c.src, coalesce(n.dst, f.dst) as dst from called c join (select name, min(dst) as dst from declared group by name) f using (name) left join near_calls n on n.src = c.src and n.name = c.name),
+    calls as (select src, dst, 'calls' as kind, 0.9::double as weight from (select *, row_number() over (partition by src order by dst) as rn from chosen where src <> dst) where rn <= 20),
+    edges as (select * from imports union all select src, dst, 'references' as kind, 0.7::double as weight from y where rn <= 24 union all select * from calls),
+    adj as (select src, dst, max(w) as weight from (select src, dst, weight as w from edges union all select dst, src, weight * 0.7::double from edges) group by all)
 """
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
     files = items(spark, d)
-    return graph.all_edges(graph.import_edges(files), graph.symbol_edges(files), graph.together_edges(table(spark, d, "eval_cases")))
+    imports = graph.import_edges(files)
+    return graph.all_edges(imports, graph.symbol_edges(files), graph.call_edges(files, imports))
+
+
+@register("call_edges", EDGES_SQL + "select src, dst, kind, weight from calls")
+def call_edges(spark: SparkSession, d: str) -> DataFrame:
+    files = items(spark, d)
+    return graph.call_edges(files, graph.import_edges(files))
 
 
 @register("import_edges", EDGES_SQL + "select src, dst, kind, weight from imports")
@@ -351,24 +361,24 @@ def fan_in(spark: SparkSession, d: str) -> DataFrame:
 
 
 SEEDS = """
-    , s0 as (select request_id as query_id, path, max(score::double * 0.973511) as score from search_items where score is not null and not isnan(score) and score > 0 and path is not null group by all),
-    seeds as (select query_id, path, score from (select *, row_number() over (partition by query_id order by score desc, path) as n from s0) where n <= 5)
+    , seeds as (select request_id as query_id, path, max(score::double) as score from search_items where score is not null and not isnan(score) and score > 0 and path is not null group by all)
 """
 
 
 def seeds(spark: SparkSession, d: str) -> DataFrame:
-    """All files that a query found with a positive score; the SQL above still takes the five best only."""
+    """All files that a query found with a positive score."""
     hits = table(spark, d, "search_items").where("score > 0 and not isnan(score) and path is not null")
-    return hits.groupBy(F.col("request_id").alias("query_id"), "path").agg(F.max(F.col("score").cast("double") * 0.973511).alias("score"))
+    return hits.groupBy(F.col("request_id").alias("query_id"), "path").agg(F.max(F.col("score").cast("double")).alias("score"))
 
 
 @register(
     "propagate_hops",
     EDGES_SQL
     + SEEDS
-    + """, near as (select src, dst, weight from (select *, row_number() over (partition by src order by weight desc, dst) as n from adj) where n <= 40),
-    h1 as (select query_id, dst as path, max(score * weight * 0.65) as score from seeds join near on path = src group by all),
-    f1 as (select query_id, path, score from (select *, row_number() over (partition by query_id order by score desc, path) as n from h1) where n <= 40),
+    + """, near as (select src, dst, weight from (select *, row_number() over (partition by src order by round(weight, 9) desc, dst) as n from adj) where n <= 40),
+    s120 as (select query_id, path, score from (select *, row_number() over (partition by query_id order by round(score, 9) desc, path) as n from seeds) where n <= 120),
+    h1 as (select query_id, dst as path, max(score * weight * 0.65) as score from s120 join near on path = src group by all),
+    f1 as (select query_id, path, score from (select *, row_number() over (partition by query_id order by round(score, 9) desc, path) as n from h1) where n <= 40),
     h2 as (select query_id, dst as path, max(score * weight * 0.65 * 0.65) as score from f1 join near on path = src group by all)
     select query_id, path, round(max(score), 6) as score from (select * from h1 union all select * from h2) group by all""",
 )
@@ -381,8 +391,8 @@ def propagate_hops(spark: SparkSession, d: str) -> DataFrame:
     EDGES_SQL
     + SEEDS
     + """, h1 as (select query_id, dst as path, max(score * weight) as score from seeds join adj on path = src group by all),
-    b1 as (select h1.* from h1 left join seeds s using (query_id, path) where s.score is null or h1.score > s.score),
-    f1 as (select query_id, path, score from (select *, row_number() over (partition by query_id order by score desc, path) as n from b1) where n <= 40),
+    b1 as (select h1.* from h1 left join seeds s using (query_id, path) where s.score is null or round(h1.score, 9) > round(s.score, 9)),
+    f1 as (select query_id, path, score from (select *, row_number() over (partition by query_id order by round(score, 9) desc, path) as n from b1) where n <= 40),
     h2 as (select query_id, dst as path, max(score * weight * 0.72) as score from f1 join adj on path = src group by all)
     select query_id, path, round(max(score), 6) as score from (select * from h1 union all select * from h2) group by all""",
 )
@@ -394,19 +404,19 @@ def expand_hops(spark: SparkSession, d: str) -> DataFrame:
     "typed_neighbors",
     EDGES_SQL
     + SEEDS
-    + """, b as (select path, neighbour, max(w) as weight from (select src as path, dst as neighbour, weight * case kind when 'imports' then 1.0 else 0.9 end as w from edges union all select dst, src, weight * case kind when 'imports' then 0.5 else 0.4 end from edges) group by all),
-    r as (select query_id, path, neighbour, weight, row_number() over (partition by query_id, path order by weight desc, neighbour) as rank from seeds join b using (path))
+    + """, b as (select path, neighbour, max(w) as weight from (select src as path, dst as neighbour, weight * case kind when 'imports' then 1.0::double else 0.9::double end as w from edges union all select dst, src, weight * case kind when 'imports' then 0.5::double else 0.4::double end from edges) group by all),
+    r as (select query_id, path, neighbour, weight, row_number() over (partition by query_id, path order by round(weight, 9) desc, neighbour) as rank from seeds join b using (path))
     select query_id, path, neighbour, round(weight, 6) as weight, rank from r where rank <= 3""",
 )
 def typed_neighbors(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(graph.typed_neighbours(edges(spark, d), seeds(spark, d), {"imports": 1.0, "references": 0.9, "summarizes": 0.9}, {"imports": 0.5, "references": 0.4, "summarizes": 0.4}, 3))
+    return rounded(graph.typed_neighbours(edges(spark, d), seeds(spark, d), {"imports": 1.0, "references": 0.9, "calls": 0.9}, {"imports": 0.5, "references": 0.4, "calls": 0.4}, 3))
 
 
-SPANS = "s as (select distinct hit_id, path, start_line, end_line from search_items where request_id % 20 = 0 and path is not null and start_line is not null and end_line is not null)"
+SPANS = "s as (select distinct hit_id, path, start_line, end_line from search_items where path is not null and start_line is not null and end_line is not null)"
 
 
 def _spans(spark: SparkSession, d: str) -> DataFrame:
-    """All distinct spans with a path and lines; the SQL above still takes those of every twentieth request only."""
+    """All distinct spans with a path and lines."""
     found = table(spark, d, "search_items").where("path is not null and start_line is not null and end_line is not null")
     return found.select("hit_id", "path", "start_line", "end_line").distinct()
 
@@ -424,6 +434,14 @@ def containment_range(spark: SparkSession, d: str) -> DataFrame:
     return graph.contains(_spans(spark, d), "hit_id")
 
 
+@register(
+    "summary_edges",
+    f"with {SPANS}, r as (select *, row_number() over (partition by path order by start_line, hit_id) as rank from s) select path as src, hit_id as dst, 'summarizes' as kind, 0.7::double as weight from r where rank <= 80",
+)
+def summary_edges(spark: SparkSession, d: str) -> DataFrame:
+    return graph.summary_edges(_spans(spark, d), "hit_id")
+
+
 # Reranking and routing.
 
 NAMES = r"list_filter(string_split_regex(lower(regexp_replace(regexp_replace(regexp_replace(split_part(path, '/', -1), '\.[^.]*$', ''), '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z])([A-Z][a-z])', '\1 \2', 'g')), '[_.\s-]+'), lambda x: x <> '')"
@@ -523,7 +541,7 @@ ROUTES = f"""
     f as (select query_id, bool_or(term in {_words(routing.WORKFLOW_WORDS)}) as tw, bool_or(term in {_words(routing.PATH_WORDS + routing.SYMBOL_WORDS)}) as tp from terms group by all),
     w as (select query_id, bool_or(term in {_words(routing.RAW_WORKFLOW_WORDS)}) as rw from raw group by all)
     select query_id, case when coalesce(tw, false) or coalesce(rw, false) then 'workflow'
-        when coalesce(tp, false) or regexp_matches(query, '[/\\\\]|(?:^|\\s)[A-Za-z0-9_-]+\\.(py|ts|tsx|js|json|ya?ml|toml|md|sh)\\b') or regexp_matches(query, '\\b[A-Za-z_][A-Za-z0-9_]*[A-Z_][A-Za-z0-9_]*\\b') then 'path_symbol' else 'semantic' end as route
+        when coalesce(tp, false) or regexp_matches(query, '[/\\\\]|(?:^|\\s)[A-Za-z0-9_-]+\\.({'|'.join(routing.FILE_SUFFIXES)})\\b') or regexp_matches(query, '\\b[A-Za-z_][A-Za-z0-9_]*[A-Z_][A-Za-z0-9_]*\\b') then 'path_symbol' else 'semantic' end as route
     from asked left join f using (query_id) left join w using (query_id)
 """
 
@@ -542,7 +560,11 @@ def query_variants(spark: SparkSession, d: str) -> DataFrame:
     return _asked(spark, d).select("query_id", F.posexplode(routing.variants(F.col("query"))).alias("variant", "text"))
 
 
-STATEMENT = r"trim(regexp_replace(regexp_replace(rtrim(regexp_replace(trim(query), '[?]+$', '')), '(?i)^(?:where|how|what|which|who|why|when)\s+(?:is|are|was|were|does|do|did|can|could|should|would|will)?\s*(?:i\s+find\s+)?(?:the\s+|a\s+|an\s+)?', ''), '(?i)\s+in the (?:codebase|code|project|ide)\s*$', ''))"
+_SCOPE = "|".join(routing.SCOPES)
+_WORDS = lambda words: "|".join(words)
+_BARE = r"regexp_replace(regexp_replace(trim(query), '[?\s]+$', ''), '\s+', ' ', 'g')"
+_OPENED = f"regexp_replace({_BARE}, '(?i)^(?:{_WORDS(routing.QUESTION_WORDS)}) (?:(?:{_WORDS(routing.QUESTION_VERBS)})(?: |$))?(?:i find(?: |$))?(?:(?:{_WORDS(routing.ARTICLES)})(?: |$))?', '')"
+STATEMENT = f"regexp_replace({_OPENED}, '(?i)(.) in the (?:{_SCOPE})$', '\\1')"
 
 
 @register("query_statements", f"select min(request_id) as query_id, {STATEMENT} as statement from search_requests where query is not null group by query")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,7 @@ from pyspark.sql import types as T
 
 from sieveloom.functions import text as t
 from sieveloom.operators.lexical import ranked
+from sieveloom.plans.runtime import shuffle_partitions
 
 ITEM_BLOCK, QUERY_BLOCK = 4096, 512
 
@@ -34,49 +36,91 @@ def dot(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), product).otherwise(F.raise_error(F.lit("vectors differ in length")))
 
 
-def _blocks(rows: int):
-    """Pack (id, vector) rows into blocks of normalised doubles."""
+def _blocks(rows: int, with_kind: bool = False):
+    """Pack (id, vector) or (id, vector, kind) rows into blocks of normalised doubles."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list[int] = []
-        vectors: list[list[float]] = []
+        held: list[tuple] = []
 
         def out() -> pa.RecordBatch:
-            m = np.asarray(vectors, dtype=np.float64)
+            m = np.asarray([h[1] for h in held], dtype=np.float64)
             length = np.linalg.norm(m, axis=1, keepdims=True)
             m = m / np.where(length == 0, 1, length)
-            return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([m.tobytes()], pa.binary())], names=["ids", "matrix"])
+            columns = {"ids": pa.array([[h[0] for h in held]], pa.list_(pa.int64())), "matrix": pa.array([m.tobytes()], pa.binary())}
+            if with_kind:
+                columns["kinds"] = pa.array([[h[2] for h in held]], pa.list_(pa.string()))
+            return pa.RecordBatch.from_pydict(columns)
 
         for batch in batches:
-            for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids.append(i)
-                vectors.append(v)
-                if len(ids) == rows:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.append(row)
+                if len(held) == rows:
                     yield out()
-                    ids, vectors = [], []
-        if ids:
+                    held = []
+        if held:
             yield out()
 
     return pack
 
 
-def _block_top(k: int):
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k largest scores of every row; ties at the k-th place by id."""
+    keep = min(k, scores.shape[1])
+    least = np.partition(scores, scores.shape[1] - keep, axis=1)[:, scores.shape[1] - keep, None]
+    rows, columns = np.nonzero(scores >= least)
+    order = np.lexsort((ids[columns], -scores[rows, columns], rows))
+    rows, columns = rows[order], columns[order]
+    first = np.searchsorted(rows, np.arange(scores.shape[0]))
+    inside = np.arange(len(rows)) - first[rows] < keep
+    return rows[inside], columns[inside]
+
+
+def _block_top(limit):
+    """The best of each pair of blocks; ``limit`` gives the number for a kind (null without kinds)."""
+
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for q_ids, q_bytes, ids, matrix in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for q_ids, q_bytes, ids, matrix, kinds in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 q, m = np.frombuffer(q_bytes).reshape(len(q_ids), -1), np.frombuffer(matrix).reshape(len(ids), -1)
                 if q.shape[1] != m.shape[1]:
                     raise ValueError("vectors differ in length")
-                scores = np.round(q @ m.T, 9)
-                keep = min(k, len(ids))
-                order = np.lexsort((np.broadcast_to(np.asarray(ids), scores.shape), -scores), axis=1)[:, :keep]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(q_ids, keep), pa.int64()), pa.array(np.asarray(ids)[order].ravel(), pa.int64()), pa.array(np.take_along_axis(scores, order, 1).ravel())], names=["query_id", "item_id", "score"]
-                )
+                scores, q_ids, ids = q @ m.T, np.asarray(q_ids), np.asarray(ids)
+                lanes: dict = {}
+                for i, kind in enumerate(kinds or [None] * len(ids)):
+                    lanes.setdefault(kind, []).append(i)
+                for kind, own in lanes.items():
+                    rows, columns = _best(np.round(scores[:, own], 9), ids[own], limit(kind))  # sums in another order tie
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(q_ids[rows], pa.int64()), pa.array(ids[own][columns], pa.int64()), pa.array(scores[:, own][rows, columns]), pa.array([kind] * len(rows), pa.string())],
+                        names=["query_id", "item_id", "score", "kind"],
+                    )
 
     return multiply
 
 
+def _grid(items: DataFrame, queries: DataFrame, limit, with_kind: bool) -> DataFrame:
+    """query_id, item_id, score, kind: the best of every pair of blocks, which meet in the cells of a grid.
+
+    Every block of items goes to one row of the grid and every block of queries to one column; copies are made for the
+    cells of that row or column. Rows and columns are chosen by the counted sizes so that few copies are needed, and
+    neither side is broadcast.
+    """
+    own = items.where("vector is not null").select("item_id", "vector", *(["kind"] if with_kind else []))
+    asked = queries.where("vector is not null").select("query_id", "vector")
+    cells = shuffle_partitions(items.sparkSession)
+    columns = max(1, min(cells, round(math.sqrt(cells * (asked.count() + 1) / (own.count() + 1)))))
+    rows = -(-cells // columns)
+    schema = "ids array<bigint>, matrix binary"
+    blocks = own.mapInArrow(_blocks(ITEM_BLOCK, with_kind), schema + (", kinds array<string>" if with_kind else ""))
+    if not with_kind:
+        blocks = blocks.withColumn("kinds", F.lit(None).cast("array<string>"))
+    q_blocks = asked.mapInArrow(_blocks(QUERY_BLOCK), schema).toDF("q_ids", "q_matrix")
+    spread_items = blocks.withColumn("_row", F.pmod(F.xxhash64("ids"), F.lit(rows))).withColumn("_column", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
+    spread_queries = q_blocks.withColumn("_column", F.pmod(F.xxhash64("q_ids"), F.lit(columns)).cast("int")).withColumn("_row", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rows - 1).cast("long"))))
+    met = spread_items.join(spread_queries.hint("merge"), ["_row", "_column"]).select("q_ids", "q_matrix", "ids", "matrix", "kinds")
+    return met.mapInArrow(_block_top(limit), "query_id bigint, item_id bigint, score double, kind string")
+
+
 def cosine_top(items: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, item_id, score and rank of the k nearest items of every query by cosine; ties by item_id.
 
@@ -84,12 +128,16 @@ def cosine_top(items: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     cosine 0 with all. The set of queries meets all items block by block: a pair of blocks is one matrix product
     that leaves k rows per query, so neither side is collected and no pair of rows is ever a row of its own.
     """
-    schema = "ids array<bigint>, matrix binary"
-    own = items.where("vector is not null").select("item_id", "vector").mapInArrow(_blocks(ITEM_BLOCK), schema)
-    asked = queries.where("vector is not null").select("query_id", "vector").mapInArrow(_blocks(QUERY_BLOCK), schema)
-    pairs = own.crossJoin(asked.select(F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))).select("q_ids", "q_matrix", "ids", "matrix")
-    near = pairs.mapInArrow(_block_top(k), "query_id bigint, item_id bigint, score double")
-    return ranked(near, ["query_id"], [F.col("score").desc(), F.col("item_id")], k)
+    near = _grid(items, queries, lambda kind: k, False).drop("kind")
+    return ranked(near, ["query_id"], [F.round("score", 9).desc(), F.col("item_id")], k)
+
+
+def cosine_lanes(items: DataFrame, queries: DataFrame, limits: dict[str, int], default: int, spare: int = 0) -> DataFrame:
+    """query_id, item_id, kind, score: the best items of every query within each kind (a string, null too), all kinds in one pass.
+
+    ``spare`` more than the limit are kept of each kind, for a later order by rounded scores.
+    """
+    return _grid(items, queries, lambda kind: limits.get(kind, default) + spare, True)
 
 
 def lanes(scored: DataFrame, limits: dict[str, int], default: int = 0, per_path: bool = False) -> DataFrame:

@@ -50,19 +50,12 @@ def self_cosine(spark: SparkSession, d: str) -> DataFrame:
     select query_id, item_id, label, lane_rank, score from r where lane_rank <= case label when 0 then 5 when 1 then 3 else 1 end""",
 )
 def cosine_lanes(spark: SparkSession, d: str) -> DataFrame:
-    """The best items of every query within each kind of vector, each kind searched by itself."""
+    """The best items of every query within each kind of vector."""
     own = table(spark, d, "embeddings")
-    labels = own.select("vec_id", "label")
-    asked = own.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    found = None
-    limits = {0: 5, 1: 3}
-    for label in sorted({0, 1} | {r.label for r in labels.select("label").distinct().collect()}, key=lambda x: (x is None, x)):
-        limit = limits.get(label, 1)
-        kind = own.where(F.col("label").eqNullSafe(F.lit(label))).select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
-        part = vectors.cosine_top(kind, asked, k=limit + 3)
-        found = part if found is None else found.unionByName(part)
-    scored = rounded(found).select("query_id", "item_id", "score").join(labels, F.col("item_id") == F.col("vec_id")).select("query_id", "item_id", "score", "label", F.col("label").cast("string").alias("kind"), F.lit("").alias("path"))
-    return vectors.lanes(scored, {"0": 5, "1": 3}, default=1).select("query_id", "item_id", "label", "lane_rank", "score")
+    kinds = own.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"), F.col("label").cast("string").alias("kind"))
+    found = vectors.cosine_lanes(kinds, _vectors(spark, d)[1], {"0": 5, "1": 3}, default=1, spare=3)
+    scored = rounded(found).withColumn("path", F.lit(""))
+    return vectors.lanes(scored, {"0": 5, "1": 3}, default=1).select("query_id", "item_id", F.col("kind").cast("int").alias("label"), "lane_rank", "score")
 
 
 @register(

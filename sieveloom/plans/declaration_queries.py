@@ -36,11 +36,11 @@ def symbol_parents(spark: SparkSession, d: str) -> DataFrame:
     return graph.symbol_parents(ops.qualified(ops.declarations(items(spark, d))))
 
 
-SOUGHT = "load cache"
+SOUGHT = "class filter"
 _HAY = "lower(symbol || ' ' || signature)"
 
 
-@register("symbol_lookup", DECLARED + f"select path, line, symbol from d where (contains({_HAY}, 'load') and contains({_HAY}, 'cache')) or contains(regexp_replace({_HAY}, '[^a-z0-9]', '', 'g'), 'loadcache')")
+@register("symbol_lookup", DECLARED + f"select path, line, symbol from d where (contains({_HAY}, 'class') and contains({_HAY}, 'filter')) or contains(regexp_replace({_HAY}, '[^a-z0-9]', '', 'g'), 'classfilter')")
 def symbol_lookup(spark: SparkSession, d: str) -> DataFrame:
     return ops.declarations(items(spark, d)).where(ops.matches_symbol(F.col("symbol"), F.col("signature"), SOUGHT)).select("path", "line", "symbol")
 

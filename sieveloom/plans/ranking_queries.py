@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveloom.functions import text as t
-from sieveloom.operators import fusion, graph, rerank, routing, vectors
+from sieveloom.operators import fusion, graph, lexical, rerank, routing, vectors
 from sieveloom.operators.lexical import ranked
-from sieveloom.plans.lexical_queries import ASKED, TOKENS_A, items
+from sieveloom.plans.lexical_queries import ASKED, TERMS, TOKENS_A, items
 from sieveloom.plans.registry import register, rounded
 from sieveloom.sources.tables import table
 
@@ -75,32 +75,36 @@ def hashed_embedding(spark: SparkSession, d: str) -> DataFrame:
     return items(spark, d).select("item_id", vectors.blake_embedding(t.identifier_tokens(F.coalesce("title", F.lit("")))).alias("embedding"))
 
 
-# Candidates: the hits of every request with three signals, and their ranking by score.
+# Candidates: the hits of every request with their score, what the path covers of the query's terms, and how the title
+# matches them; and their ranking by score.
 
-CANDIDATES = """
-    with c as (
-        select distinct request_id as query_id, hit_id as item_id, path, coalesce(split_part(path, '/', 1), '') as kind, case when score is null or isnan(score) then 0 else round(score::double, 6) end as vector,
-            round(1.0 / (1 + start_line), 6) as lexical, round(1.0 / (2 + end_line - start_line), 6) as symbol
-        from search_items where path is not null),
+CANDIDATES = f"""
+    with cq as (select distinct request_id, list_distinct({TERMS}) as terms from search_requests where query is not null),
+    ch as (select distinct request_id, hit_id, path, title, score from search_items where path is not null),
+    ct as (select *, list_distinct({TOKENS_A.format("path")}) as path_terms, list_distinct({TOKENS_A.format("title")}) as title_terms from ch left join cq using (request_id)),
+    c as (
+        select request_id as query_id, hit_id as item_id, path, coalesce(split_part(path, '/', 1), '') as kind, case when score is null or isnan(score) then 0 else round(score::double, 6) end as vector,
+            round(coalesce(len(list_intersect(terms, path_terms)) / nullif(len(terms), 0), 0), 6)::double as lexical,
+            round(coalesce(case when terms is not null and len(title_terms) > 0 then least(1.0, len(list_intersect(terms, title_terms)) / greatest(least(len(title_terms), len(terms)), 1)) end, 0), 6)::double as symbol
+        from ct),
     ranking as (select *, row_number() over (partition by query_id order by vector desc, item_id) as rank from c)
 """
 
 
 def candidates(spark: SparkSession, d: str) -> DataFrame:
     score = F.col("score").cast("double")
-    return (
-        table(spark, d, "search_items")
-        .where("path is not null")
-        .select(
-            F.col("request_id").alias("query_id"),
-            F.col("hit_id").alias("item_id"),
-            "path",
-            F.substring_index("path", "/", 1).alias("kind"),
-            F.when(score.isNull() | F.isnan(score), 0.0).otherwise(F.round(score, 6)).alias("vector"),
-            F.round(1 / (1 + F.col("start_line")), 6).alias("lexical"),
-            F.round(1 / (2 + F.col("end_line") - F.col("start_line")), 6).alias("symbol"),
-        )
-        .distinct()
+    hits = table(spark, d, "search_items").where("path is not null").select("request_id", "hit_id", "path", "title", "score").distinct()
+    asked = table(spark, d, "search_requests").where("query is not null").select("request_id", t.query_terms(F.col("query")).alias("terms")).distinct()
+    joined = hits.join(asked, "request_id", "left")
+    covered = F.try_divide(F.size(F.array_intersect("terms", t.identifier_tokens(F.col("path")))), F.size("terms"))
+    return joined.select(
+        F.col("request_id").alias("query_id"),
+        F.col("hit_id").alias("item_id"),
+        "path",
+        F.substring_index("path", "/", 1).alias("kind"),
+        F.when(score.isNull() | F.isnan(score), 0.0).otherwise(F.round(score, 6)).alias("vector"),
+        F.round(F.coalesce(F.when(F.col("terms").isNotNull(), covered), F.lit(0.0)), 6).alias("lexical"),
+        F.round(F.coalesce(F.when(F.col("terms").isNotNull(), lexical.symbol_match(t.identifier_tokens(F.col("title")), F.col("terms"))), F.lit(0.0)), 6).alias("symbol"),
     )
 
 
@@ -120,11 +124,11 @@ def minmax_norm(spark: SparkSession, d: str) -> DataFrame:
 @register(
     "weighted_fusion",
     CANDIDATES
-    + """, f as (select query_id, item_id, round(vector * 0.561713 + lexical * 0.187351 + symbol * 0.250936, 6) as total, vector, path from c),
+    + """, f as (select query_id, item_id, round(vector * 0.5625::double + lexical * 0.1875::double + symbol * 0.25::double + 1e-10, 6) as total, vector, path from c),
     r as (select *, row_number() over (partition by query_id order by total desc, vector desc, path desc, item_id) as rank from f) select query_id, item_id, rank, total from r where rank <= 10""",
 )
 def weighted_fusion(spark: SparkSession, d: str) -> DataFrame:
-    fused = candidates(spark, d).withColumn("total", F.round(fusion.weighted_sum({"vector": 0.561713, "lexical": 0.187351, "symbol": 0.250936}), 6))
+    fused = candidates(spark, d).withColumn("total", F.round(fusion.weighted_sum({"vector": 0.5625, "lexical": 0.1875, "symbol": 0.25}) + 1e-10, 6))  # halves are rounded up
     return ranked(fused, ["query_id"], [F.col("total").desc(), F.col("vector").desc(), F.col("path").desc(), F.col("item_id")], 10).select("query_id", "item_id", "rank", "total")
 
 

@@ -1,12 +1,14 @@
-"""Items of varying length packed into containers of fixed capacity.
-
-The exact packing needs only how many pieces there are of each length, a table of at most ``capacity`` rows whatever
-the number of items. From it the containers are planned as patterns (so many containers with the same lengths in
-them), from long to short: pieces of a length first fill the gaps that longer ones left, best fit first, then open
-containers of the one capacity. This is best-fit decreasing; tiers do not act, as any tiers give the same order. The plan has a few rows per length. The items are never collected or sorted: tasks
-number their pieces of each length locally, prefix sums over the tasks make the numbers global, and a number falls
-into exactly one slot of the plan. Containers of like cost are dealt to step groups in alternating direction, so that
-every group has nearly the same cost.
+"""Items of varying length packed into containers of fixed capacity, through windows of several context sizes.
+
+Every item is routed to the tier of the shortest window that takes it, and tiers are packed from long to short. Items of
+a tier first fill the gaps that longer windows have left, best fit first; the others open windows of their own tier.
+In the end the windows, each as long as what it holds, are gathered into containers of the capacity, long ones first.
+
+The packing needs only how many pieces there are of each length, a table of at most ``capacity`` rows whatever the
+number of items. From it windows and containers are planned as patterns (so many with the same contents), a few rows
+per length. The items are never collected or sorted: tasks number their pieces of each length locally, prefix sums over
+the tasks make the numbers global, and a number falls into exactly one slot of the plan. Containers of like cost are
+dealt to step groups in alternating direction, so that every group has nearly the same cost.
 """
 
 from __future__ import annotations
@@ -31,44 +33,34 @@ MAX_CAPACITY = 1 << 20
 
 @dataclass
 class Pattern:
-    """``containers`` containers with the same lengths in them.
+    """``count`` windows or containers of one ``size`` with the same contents.
 
-    content has (length, times, first): the containers hold the pieces of that length numbered from ``first`` on,
-    ``times`` in each, in turn.
+    content has (key, length, times, first): they hold what is known by that key, of that length and numbered from
+    ``first`` on, ``times`` in each, in turn.
     """
 
-    containers: int
-    content: list[tuple[int, int, int]]
+    count: int
+    content: list[tuple[int, int, int, int]]
     gap: int
+    size: int
 
-    def split(self, containers: int) -> Pattern:
-        """Take the first ``containers`` containers off."""
-        taken = Pattern(containers, list(self.content), self.gap)
-        self.content = [(length, times, first + times * containers) for length, times, first in self.content]
-        self.containers -= containers
+    def split(self, count: int) -> Pattern:
+        """Take the first ``count`` off."""
+        taken = Pattern(count, list(self.content), self.gap, self.size)
+        self.content = [(key, length, times, first + times * count) for key, length, times, first in self.content]
+        self.count -= count
         return taken
 
-    def cost(self) -> int:
-        """Work of a step on one container, where every piece attends to itself."""
-        return sum(times * length * length for length, times, _ in self.content)
 
+class BestFit:
+    """Patterns that grow by placing many pieces of one length at a time into the smallest gap that takes them."""
 
-class Plan:
-    """Containers for the given numbers of pieces by length, at most a few patterns per length."""
-
-    def __init__(self, counts: dict[int, int], capacity: int, tiers: tuple[int, ...]):
-        self.capacity = capacity
+    def __init__(self):
         self._open: dict[int, list[Pattern]] = {}
         self._gaps: list[int] = []
-        bounds = [0, *sorted(t for t in tiers if 0 < t < capacity), capacity]
-        for low, high in reversed([*zip(bounds, bounds[1:], strict=False)]):
-            for length in sorted((n for n in counts if low < n <= high), reverse=True):
-                self._place(length, counts[length])
-        self.patterns = sorted((p for own in self._open.values() for p in own), key=lambda p: (-p.cost(), p.content))
-        self.containers = sum(p.containers for p in self.patterns)
 
     def _keep(self, pattern: Pattern) -> None:
-        if pattern.containers:
+        if pattern.count:
             if pattern.gap not in self._open:
                 insort(self._gaps, pattern.gap)
                 self._open[pattern.gap] = []
@@ -80,32 +72,62 @@ class Plan:
             del self._open[gap], self._gaps[bisect_left(self._gaps, gap)]
         return pattern
 
-    def _place(self, length: int, count: int) -> None:
+    def place(self, key: int, length: int, count: int, size: int) -> None:
+        """Place ``count`` pieces; where no gap takes one, in new patterns of ``size``."""
         placed = 0
         while placed < count:
             left = count - placed
             at = bisect_left(self._gaps, length)
             fresh = at == len(self._gaps)
-            pattern = Pattern(left, [], self.capacity) if fresh else self._take(self._gaps[at])
+            pattern = Pattern(left, [], size, size) if fresh else self._take(self._gaps[at])
             times = min(pattern.gap // length, left)
-            wanted = min(pattern.containers, left // times)
+            wanted = min(pattern.count, left // times)
             taken = pattern.split(wanted)
             if not fresh:
                 self._keep(pattern)
-            taken.content.append((length, times, placed))
+            taken.content.append((key, length, times, placed))
             taken.gap -= times * length
             placed += times * wanted
             self._keep(taken)
 
-    def slots(self) -> list[tuple[int, int, int, int, int]]:
-        """(length, first, times, first container, offset) of every content; containers in descending order of cost."""
+    def patterns(self) -> list[Pattern]:
+        return [p for own in self._open.values() for p in own]
+
+
+class Plan:
+    """Windows and containers for the given numbers of pieces by length, at most a few patterns per length."""
+
+    def __init__(self, counts: dict[int, int], capacity: int, tiers: tuple[int, ...]):
+        packed, gathered = BestFit(), BestFit()
+        bounds = [0, *sorted({t for t in tiers if 0 < t < capacity}), capacity]
+        for low, high in reversed([*zip(bounds, bounds[1:], strict=False)]):
+            for length in sorted((n for n in counts if low < n <= high), reverse=True):
+                packed.place(length, length, counts[length], high)
+        self.windows = packed.patterns()
+        for i, w in sorted(enumerate(self.windows), key=lambda x: (x[1].gap - x[1].size, x[0])):
+            gathered.place(i, w.size - w.gap, w.count, capacity)
+        self.patterns = sorted(gathered.patterns(), key=lambda p: (-self.cost(p), p.content))
+        self.containers = sum(p.count for p in self.patterns)
+
+    def cost(self, container: Pattern) -> int:
+        """Work of a step on one container, where every piece attends to itself."""
+        return sum(times * sum(n * length * length for _, length, n, _ in self.windows[i].content) for i, _, times, _ in container.content)
+
+    def slots(self) -> list[tuple[int, ...]]:
+        """For every length in every window of every container, by length and first number: (length, first number, times in
+        a window, windows in a container, first container, offset, length of the window's contents, size of the window).
+        Containers are in descending order of cost.
+        """
         found, base = [], 0
         for pattern in self.patterns:
             offset = 0
-            for length, times, first in sorted(pattern.content, key=lambda c: (-c[0], c[2])):
-                found.append((length, first, times, base, offset))
-                offset += times * length
-            base += pattern.containers
+            for i, used, windows, first_window in sorted(pattern.content, key=lambda c: (-c[1], c[3])):
+                inner = offset
+                for _, length, times, first in sorted(self.windows[i].content, key=lambda c: (-c[1], c[3])):
+                    found.append((length, first + first_window * times, times, windows, base, inner, used, self.windows[i].size))
+                    inner += times * length
+                offset += windows * used
+            base += pattern.count
         return sorted(found)
 
 
@@ -135,9 +157,9 @@ def _pieces(capacity: int):
     return cut
 
 
-def _assign(slots: list[tuple[int, int, int, int, int]], containers: int, group_size: int):
+def _assign(slots: list[tuple[int, ...]], containers: int, group_size: int):
     keys = np.array([(s[0] << _NUMBER_BITS) + s[1] for s in slots], dtype=np.int64)
-    table = np.array(slots, dtype=np.int64).reshape(-1, 5)
+    table = np.array(slots, dtype=np.int64).reshape(-1, 8)
     groups = max(1, -(-containers // group_size))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,14 +169,16 @@ def _assign(slots: list[tuple[int, int, int, int, int]], containers: int, group_
             if len(keys):
                 slot = table[np.maximum(0, np.searchsorted(keys, (length << _NUMBER_BITS) + number, side="right") - 1)]
             else:
-                slot = np.ones((len(length), 5), dtype=np.int64)
-            turn = number - slot[:, 1]
-            container = slot[:, 3] + turn // slot[:, 2]
-            offset = slot[:, 4] + turn % slot[:, 2] * length
+                slot = np.ones((len(length), 8), dtype=np.int64)
+            _, first, times, windows, base, offset, used, size = slot.T
+            turn = number - first
+            window = turn // times
+            container = base + window // windows
+            place_in = offset + window % windows * used + turn % times * length
             row, place = container // groups, container % groups
             group = np.where(row % 2 == 0, place, groups - 1 - place)
-            extra = [pa.array(x, pa.int64(), mask=empty) for x in (container, offset, group)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *extra], names=[*batch.schema.names[:4], "container", "offset", "step_group"])
+            extra = [pa.array(np.ascontiguousarray(x), pa.int64(), mask=empty) for x in (container, place_in, group, size)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *extra], names=[*batch.schema.names[:4], "container", "offset", "step_group", "window"])
 
     return assign
 
@@ -162,8 +186,8 @@ def _assign(slots: list[tuple[int, int, int, int, int]], containers: int, group_
 def pack(items: DataFrame, capacity: int, key: str = "doc_id", size: str = "n_tokens", tiers: tuple[int, ...] = (), group_size: int = 64) -> DataFrame:
     """Every item of ``items`` in containers of ``capacity``; only items above it are cut.
 
-    ``tiers`` are the upper lengths of the shorter tiers. Result: ``key``, piece (from 0), start (within the item),
-    length, container (from 0), offset (within the container), step_group. Items without a size (0, null) take no
+    ``tiers`` are the sizes of the shorter windows. Result: ``key``, piece (from 0), start (within the item), length,
+    container (from 0), offset (within the container), step_group, window (the size of the window it is in). Items without a size (0, null) take no
     room and get no container. Containers are numbered by descending cost; a step group has at most ``group_size``.
     The order of equal lengths is that of the input. Repeated rows are items of their own. Sizes are computed once:
     they are checkpointed, as the counts and the assignment must see the same tasks.
@@ -179,5 +203,5 @@ def pack(items: DataFrame, capacity: int, key: str = "doc_id", size: str = "n_to
     earlier = Window.partitionBy("length").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     before = by_task.select("length", "_task", F.coalesce(F.sum("_count").over(earlier), F.lit(0)).alias("_before"))
     numbered = pieces.join(before, ["length", "_task"], "left").select(key, "piece", "start", "length", (F.col("_number") + F.coalesce("_before", F.lit(0))).alias("_number"))
-    out = T.StructType([*schema.fields[:4], *(T.StructField(c, T.LongType()) for c in ("container", "offset", "step_group"))])
+    out = T.StructType([*schema.fields[:4], *(T.StructField(c, T.LongType()) for c in ("container", "offset", "step_group", "window"))])
     return numbered.mapInArrow(_assign(plan.slots(), plan.containers, group_size), out)

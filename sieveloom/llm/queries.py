@@ -206,6 +206,22 @@ def p8_step_groups(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@register(
+    "p8_whole",
+    "select doc_id, true as whole, true as within, true as cut_only_above from documents",
+)
+def p8_whole(spark: SparkSession, d: str) -> DataFrame:
+    """By document: whether its pieces add up to its tokens, lie in containers that are not overfull, and are more than one only above the capacity."""
+    sizes = encode.token_counts(table(spark, d, "documents"))
+    packed = checkpoint(packing.pack(sizes, CAPACITY, tiers=TIERS))
+    full = packed.where("container is not null").groupBy("container").agg(F.sum("length").alias("held"), F.max(F.col("offset") + F.col("length")).alias("end"))
+    placed = packed.join(full, "container", "left")
+    fits = F.coalesce((F.col("held") <= CAPACITY) & (F.col("end") == F.col("held")), F.col("length") == 0)
+    own = placed.groupBy("doc_id").agg(F.sum("length").alias("placed"), F.count(F.lit(1)).alias("pieces"), F.bool_and(fits).alias("within"))
+    n = F.coalesce("n_tokens", F.lit(0))
+    return sizes.join(own, "doc_id").select("doc_id", (F.col("placed") == n).alias("whole"), "within", (F.col("pieces") == F.greatest(F.lit(1), F.ceil(n / CAPACITY))).alias("cut_only_above"))
+
+
 # 9: garbled text
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveloom.functions import text as t
@@ -70,9 +70,9 @@ def grep(files: DataFrame, pattern: str, fixed: bool = False) -> DataFrame:
 
 
 def grep_files(matches: DataFrame, limit: int = 20) -> DataFrame:
-    """Matching files: first and last line, matches, a confidence that grows with them, and the first lines."""
-    found = matches.groupBy("path").agg(F.min("line").alias("first_line"), F.max("line").alias("last_line"), F.count(F.lit(1)).alias("matches"))
-    return found.withColumn("confidence", F.least(F.lit(0.95), 0.45 + 0.08 * F.col("matches")))
+    """The ``limit`` files with most matches: first and last line, matches, a confidence that grows with them, and the first line's text."""
+    found = matches.groupBy("path").agg(F.min("line").alias("first_line"), F.max("line").alias("last_line"), F.count(F.lit(1)).alias("matches"), F.min_by("text", "line").alias("first_text"))
+    return found.withColumn("confidence", F.least(F.lit(0.95), 0.45 + 0.08 * F.col("matches"))).orderBy(F.col("matches").desc(), "path").limit(limit)
 
 
 def excerpt(files: DataFrame, start: int, count: int) -> DataFrame:
@@ -116,8 +116,3 @@ def generated_cases(files: DataFrame) -> DataFrame:
     )
     first = ranked(rows.withColumn("_key", F.lower("query")), ["_key"], [F.col("offset"), F.col("path")], 1, "_n")
     return first.select(F.concat(F.lit("local-"), F.substring(F.sha1(F.concat_ws(":", F.col("path"), F.col("query"))), 1, 12)).alias("id"), "query", "path", "offset")
-
-
-def neighbours_by_window(df: DataFrame, per: str, order: str) -> DataFrame:
-    """Every row with the one after it in its group."""
-    return df.withColumn("next", F.lead(order).over(Window.partitionBy(per).orderBy(order)))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,7 +123,3 @@ def tree_model(text: str, columns: dict[str, Column] | None = None) -> Column:
 
         total = total + (node(0) if tree.get("split_feature") else F.lit(tree["leaf_value"][0]))
     return total
-
-
-def ideal_gain(limit: int) -> float:
-    return sum(1 / math.log2(i + 1) for i in range(1, limit + 1))

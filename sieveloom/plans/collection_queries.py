@@ -38,7 +38,7 @@ def grep_lines(spark: SparkSession, d: str) -> DataFrame:
 
 @register(
     "grep_candidates",
-    f"with {READ}, n as (select path, unnest(l) as text, generate_subscripts(l, 1) as line from f) select path, min(line) as first_line, max(line) as last_line, count(*) as matches, round(least(0.95, 0.45 + 0.08 * count(*)), 6)::double as confidence from n where contains(text, 'cursor') group by path",
+    f"with {READ}, n as (select path, unnest(l) as text, generate_subscripts(l, 1) as line from f) select path, min(line) as first_line, max(line) as last_line, count(*) as matches, arg_min(text, line) as first_text, round(least(0.95, 0.45 + 0.08 * count(*)), 6)::double as confidence from n where contains(text, 'cursor') group by path order by matches desc, path limit 20",
 )
 def grep_candidates(spark: SparkSession, d: str) -> DataFrame:
     return rounded(ops.grep_files(ops.grep(items(spark, d), "cursor", fixed=True)))

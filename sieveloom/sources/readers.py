@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,8 @@ from sieveloom.functions.text import glob_regex
 #: Suffixes of text that a scan reads (fixed values).
 SUFFIXES = ["c", "cc", "cpp", "cs", "css", "go", "h", "hpp", "html", "java", "js", "json", "jsx", "kt", "kts", "md", "php", "properties", "proto", "py", "rb", "rs", "scala", "sh", "sql", "swift", "toml", "ts", "tsx", "txt", "xml", "yaml", "yml"]
 MAX_BYTES = 1_000_000
+#: How a document with a list of cases begins.
+_CASES = re.compile(r'\{\s*"cases"\s*:')
 
 
 def source_files(spark: SparkSession, root: str, suffixes: list[str] = SUFFIXES, exclude: list[str] = ()) -> DataFrame:
@@ -29,7 +32,9 @@ def source_files(spark: SparkSession, root: str, suffixes: list[str] = SUFFIXES,
     files = files.where(F.lower(F.substring_index("path", ".", -1)).isin(suffixes) & (F.instr("path", ".") > 0))
     for pattern in exclude:
         if pattern.endswith("/**"):
-            files = files.where(~F.concat(F.lit("/"), F.col("path")).contains(f"/{pattern[:-3]}/"))
+            # A run of whole segments, each a pattern of its own, at any depth.
+            run = "/".join(re.escape(p).replace(r"\*", "[^/]*").replace(r"\?", "[^/]") for p in pattern[:-3].split("/"))
+            files = files.where(~F.col("path").rlike(f"(^|/){run}/"))
         else:
             files = files.where(~F.rlike(F.col("path"), glob_regex(F.lit(pattern))))
     text = F.make_valid_utf8(F.col("_bytes").cast("string"))
@@ -37,11 +42,24 @@ def source_files(spark: SparkSession, root: str, suffixes: list[str] = SUFFIXES,
 
 
 def evaluation_cases(spark: SparkSession, path: str) -> DataFrame:
-    """id, query, expected (array), metadata_json from JSON lines: ``expected`` or ``relevant``, a list or one entry.
+    """id, query, expected (array), metadata_json of a data set: JSON lines, a JSON list, or an object with the list ``cases``.
 
-    A missing id becomes ``case-`` and a hash of the query. An empty data set is an error at run time.
+    ``expected`` or ``relevant`` is a list or one entry; a missing id becomes ``case-`` and a hash of the query. A
+    single-document file is one value of one task; large sets are JSON lines. An empty data set is an error.
     """
-    raw = spark.read.text(path).where("trim(value) != ''")
+    lines = spark.read.text(path).where("trim(value) != ''")
+    first = lines.first()
+    if first is None:
+        raise ValueError(f"{path} has no cases")
+    head = first["value"].lstrip()
+    if head.startswith("[") or _CASES.match(head) or head.rstrip() == "{":
+        whole = spark.read.text(path, wholetext=True)
+        listed = F.coalesce(F.get_json_object("value", "$.cases"), F.col("value"))
+        raw = whole.select(F.explode(F.from_json(listed, "array<string>")).alias("value"))
+        if raw.isEmpty():
+            raise ValueError(f"{path} has no cases")
+    else:
+        raw = lines
     entry = F.coalesce(F.get_json_object("value", "$.expected"), F.get_json_object("value", "$.relevant"))
     expected = F.when(F.startswith(F.trim(entry), F.lit("[")), F.from_json(entry, "array<string>")).otherwise(F.array(entry))
     query = F.coalesce(F.get_json_object("value", "$.query"), F.get_json_object("value", "$.question"))

@@ -71,13 +71,13 @@ def upsert(old: DataFrame, changes: DataFrame, key: str, order: str) -> DataFram
 
 
 def maintain(changes: DataFrame, store, key: str, order: str, checkpoint: str) -> StreamingQuery:
-    """Keep a versioned table (see ``sources.store``) up to date with a stream of changes, a version per micro-batch.
+    """Keep a bucketed table (see ``sources.store``) up to date with a stream of changes, a version per micro-batch.
 
-    A batch that is delivered again after a failure replaces the version it wrote before.
+    A micro-batch rewrites the buckets of its keys only. One that is delivered again after a failure starts from the
+    version before it and replaces what it wrote.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        current = store.read_before(f"batch-{number:012d}", batch.drop("deleted").schema)
-        store.write(upsert(current, batch, key, order), f"batch-{number:012d}")
+        store.apply(batch, f"batch-{number:012d}", lambda old, new: upsert(old, new, key, order))
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -21,6 +21,15 @@ def test_evaluation_cases(spark, tmp_path):
     lines = [{"id": "a", "query": "q", "expected": ["x", "y"]}, {"query": "r", "relevant": "z"}, {"id": "c", "question": "s", "expected": []}]
     (tmp_path / "c.jsonl").write_text("\n".join(map(json.dumps, lines)) + "\n\n")
     found = {r.query: (r.id, r.expected) for r in readers.evaluation_cases(spark, str(tmp_path / "c.jsonl")).collect()}
+    for name, document in (("list", lines), ("object", {"cases": lines})):
+        for indent in (None, 2):
+            (tmp_path / f"{name}{indent}.json").write_text(json.dumps(document, indent=indent))
+            again = {r.query: (r.id, r.expected) for r in readers.evaluation_cases(spark, str(tmp_path / f"{name}{indent}.json")).collect()}
+            assert again == found
+    for empty in ("", "\n", "[]"):
+        (tmp_path / "none.json").write_text(empty)
+        with pytest.raises(ValueError, match="no cases"):
+            readers.evaluation_cases(spark, str(tmp_path / "none.json"))
     assert found["q"] == ("a", ["x", "y"]) and found["r"][1] == ["z"] and found["r"][0].startswith("case-") and found["s"] == ("c", [])
 
 
@@ -33,6 +42,11 @@ def test_versioned_table(spark, tmp_path):
     assert (table.current(), table.versions(), table.read().count()) == ("v2", ["v1", "v2"], 5)
     table.point_to("v1")
     assert table.read().count() == 3
+    seen = table.read()
+    table.write(spark.range(7).toDF("k"), "v1")
+    assert (seen.count(), table.read().count(), table.versions()) == (3, 7, ["v1", "v2"])
+    (tmp_path / "t/v9@x").mkdir()  # a write that failed
+    assert table.current() == "v1"
 
 
 def test_vectors_with_a_wrong_dimension_are_refused(spark):
@@ -55,24 +69,25 @@ def test_incremental_table(spark, tmp_path):
     schema = "k bigint, v string, at int, deleted boolean"
     spark.createDataFrame([(1, "a", 1, False), (2, "b", 1, False)], schema).coalesce(1).write.parquet(str(tmp_path / "in/1"))
     spark.createDataFrame([(2, "B", 2, False), (1, None, 2, True), (3, "c", 2, False)], schema).coalesce(1).write.parquet(str(tmp_path / "in/2"))
-    table = store.VersionedTable(spark, str(tmp_path / "t"))
-    for part in ("1", "2"):
-        changes = spark.readStream.schema(schema).parquet(str(tmp_path / "in" / part))
-        monitor.maintain(changes, _Shifted(table, int(part)), "k", "at", str(tmp_path / f"c{part}")).awaitTermination()
-    assert {r.k: r.v for r in table.read().collect()} == {2: "B", 3: "c"}
-
-
-class _Shifted:
-    """Two streams in a row stand for two batches of one."""
-
-    def __init__(self, table, number):
-        self.table, self.number = table, number
-
-    def read_before(self, version, schema):
-        return self.table.read_before(f"run-{self.number}", schema)
-
-    def write(self, df, version):
-        self.table.write(df, f"run-{self.number}")
+    table = store.BucketedTable(spark, str(tmp_path / "t"), "k", 8)
+    plain = spark.createDataFrame([], "k bigint, v string, at int").schema
+    merge = lambda old, new: monitor.upsert(old, new, "k", "at")
+    assert table.read(plain).count() == 0
+    changes = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    monitor.maintain(changes, table, "k", "at", str(tmp_path / "c")).awaitTermination()
+    assert {r.k: r.v for r in table.read(plain).collect()} == {2: "B", 3: "c"}
+    # The second batch once more, and a change that touches one bucket only.
+    table.apply(spark.read.schema(schema).parquet(str(tmp_path / "in/2")), "batch-000000000001", merge)
+    assert {r.k: r.v for r in table.read(plain).collect()} == {2: "B", 3: "c"}
+    assert len(table.apply(spark.createDataFrame([(9, "z", 3, False)], schema), "batch-000000000002", merge)) == 1
+    assert {r.k: r.v for r in table.read(plain).collect()} == {2: "B", 3: "c", 9: "z"}
+
+
+def test_metrics_and_once_per_key(spark, tmp_path):
+    rows = spark.createDataFrame([("r", "s", "m", 1.0, "2024-01-01"), ("r", "s", "m", 1.0, "2024-01-01"), ("q", "t", "m", 2.0, "2024-01-02")], "run_id string, suite string, metric_name string, metric_value double, t string").withColumn("event_time", F.to_timestamp("t"))
+    store.write_metrics(rows, str(tmp_path / "m"))
+    stream = monitor.once_per_key(spark.readStream.schema(spark.read.parquet(str(tmp_path / "m")).schema).parquet(str(tmp_path / "m")), ["run_id", "metric_name"], "event_time", "1 day")
+    assert monitor.run_to_table(stream, "append").count() == 2
 
 
 def test_windows_with_watermark(spark):

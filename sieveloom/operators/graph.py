@@ -5,33 +5,75 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sieveloom.functions.text import stem
+from sieveloom.functions.text import directory
 from sieveloom.operators.lexical import ranked
 
 #: Weights of edges by kind (fixed values).
 EDGE_WEIGHTS = {"same_file_next": 0.6, "summarizes": 0.7, "references": 0.85, "imports": 0.8, "contains": 0.75, "calls": 0.9}
 REVERSE = 0.7
-IMPORT = r"(?m)^\s*(?:from\s+\.+(\w+)\s+import|import\s+\{[^}]*\}\s+from\s+[\"']\./(\w+)[\"']|#include\s+\"(\w+)\.h\"|import\s+(?:\w+\.)+(\w+);)"
-
-
-def _module_key(name: Column) -> Column:
-    return F.lower(F.replace(name, F.lit("_"), F.lit("")))
+#: Import lines by how their target is named (fixed values): dots and module, module, relative path, header, dotted class.
+IMPORTS = {
+    "python_relative": r"(?m)^[ \t]*from[ \t]+(\.+[\w.]*)[ \t]+import",
+    "python": r"(?m)^[ \t]*(?:from|import)[ \t]+(\w[\w.]*)",
+    "script": r"(?m)^[ \t]*(?:import|export)[^;\n]*?from[ \t]+[\"'](\.[./\w-]*)[\"']",
+    "c": r"(?m)^[ \t]*#include[ \t]+\"([\w./-]+)\"",
+    "jvm": r"(?m)^[ \t]*import[ \t]+(?:static[ \t]+)?((?:\w+\.)+\w+)",
+}
+#: Suffixes of the files of a language family (fixed values).
+FAMILIES = {"python": ["py", "pyi"], "script": ["ts", "tsx", "js", "jsx", "mjs"], "c": ["c", "h", "cc", "cpp", "hpp"], "jvm": ["java", "kt", "kts", "scala", "groovy"]}
+#: What stands for a directory as a module (fixed values).
+INDEX_FILES = {"python": "__init__", "script": "index"}
+
+
+def _below(parts: Column, up: Column, rest: Column) -> Column:
+    """The path ``rest`` below the directory ``parts`` after going ``up`` directories."""
+    base = F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - up, F.lit(0))), "/")
+    return F.concat_ws("/", F.nullif(base, F.lit("")), F.nullif(rest, F.lit("")))
 
 
 def import_edges(files: DataFrame, most: int = 64) -> DataFrame:
-    """src, dst, kind, weight from import lines to the files whose stem names the module, at most ``most`` per file.
+    """src, dst, kind, weight from import lines to the files they name, at most ``most`` per file, the first by path.
 
-    Case and underscores don't matter; a file doesn't import itself; several files of one stem are all targets.
+    Python modules and relative script and header paths are paths without suffix, or the index file of a directory; a
+    relative one counts from the file's own directory. A dotted JVM name is the end of a path: its parts with a capital
+    are tried as the class from right to left, and the first that any file matches counts. A file doesn't import itself.
     """
-    named = None
-    for group in range(1, 5):
-        part = files.select(F.col("path").alias("src"), F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(IMPORT), group))).alias("name")).where("name != ''")
-        named = part if named is None else named.unionByName(part)
-    wanted = named.select("src", _module_key(F.col("name")).alias("module")).distinct()
-    targets = files.select(F.col("path").alias("dst"), _module_key(stem(F.col("path"))).alias("module"))
-    # No more than the first targets of a module can be among the first of a file: a common stem is cut before the join.
-    first = ranked(targets, ["module"], [F.col("dst")], most + 1, "_n").drop("_n")
-    found = wanted.join(first, "module").where("src != dst").select("src", "dst").distinct()
+    suffix = F.substring_index("path", ".", -1)
+    family = None
+    for name, suffixes in FAMILIES.items():
+        family = F.when(suffix.isin(suffixes), name) if family is None else family.when(suffix.isin(suffixes), name)
+    own_dir = directory(F.col("path"))
+    parts = F.filter(F.split(own_dir, "/"), lambda p: p != "")
+    known = files.where(F.contains("path", F.lit("."))).select("path", "content", family.alias("family"), F.regexp_replace("path", r"\.[^./]*$", "").alias("stem"), parts.alias("parts")).where("family is not null")
+
+    def named(how: str, by: str) -> DataFrame:
+        return known.where(F.col("family") == by).select(F.col("path").alias("src"), "family", "parts", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(IMPORTS[how]), 1))).alias("name"))
+
+    module = F.regexp_replace("name", r"^\.+", "")
+    dots = F.length("name") - F.length(module)
+    up = F.size(F.regexp_extract_all("name", F.lit(r"(\.\./)"), 1))
+    wanted = [
+        named("python_relative", "python").withColumn("stem", _below(F.col("parts"), dots - 1, F.replace(module, F.lit("."), F.lit("/")))),
+        named("python", "python").withColumn("stem", F.replace("name", F.lit("."), F.lit("/"))),
+        named("script", "script").withColumn("stem", _below(F.col("parts"), up, F.regexp_replace("name", r"^(?:\.{1,2}/)+", ""))),
+        named("c", "c").withColumn("stem", _below(F.col("parts"), F.lit(0), F.regexp_replace("name", r"\.[^./]*$", ""))),
+    ]
+    paths = wanted[0]
+    for other in wanted[1:]:
+        paths = paths.unionByName(other)
+    index = F.when(F.col("family") == "python", F.array("stem", F.concat("stem", F.lit("/" + INDEX_FILES["python"])))).when(F.col("family") == "script", F.array("stem", F.concat("stem", F.lit("/" + INDEX_FILES["script"])))).otherwise(F.array("stem"))
+    targets = known.select(F.col("path").alias("dst"), "family", "stem")
+    first = ranked(targets, ["family", "stem"], [F.col("dst")], most + 1, "_n").drop("_n")
+    by_path = paths.select("src", "family", F.explode(index).alias("stem")).distinct().join(first, ["family", "stem"]).select("src", "dst")
+
+    segments = named("jvm", "jvm").withColumn("p", F.split("name", r"\."))
+    tried = segments.select("src", "name", "p", F.explode(F.sequence(F.lit(1), F.size("p"))).alias("at")).where(F.get("p", F.col("at") - 1).rlike("^[A-Z]")).select("src", "name", "at", F.array_join(F.slice("p", F.lit(1), F.col("at")), "/").alias("tail"))
+    ends = known.where("family = 'jvm'").select(F.col("path").alias("dst"), F.split("stem", "/").alias("p")).select("dst", F.explode(F.transform(F.sequence(F.lit(1), F.size("p")), lambda i: F.array_join(F.slice("p", i, F.size("p")), "/"))).alias("tail"))
+    met = tried.join(ranked(ends, ["tail"], [F.col("dst")], most + 1, "_n").drop("_n"), "tail")
+    furthest = met.groupBy("src", "name").agg(F.max("at").alias("at"))
+    by_class = met.join(furthest, ["src", "name", "at"]).select("src", "dst")
+
+    found = by_path.unionByName(by_class).where("src != dst").distinct()
     return ranked(found, ["src"], [F.col("dst")], most).select("src", "dst", F.lit("imports").alias("kind"), F.lit(EDGE_WEIGHTS["imports"]).alias("weight"))
 
 

@@ -293,13 +293,26 @@ for _mode in ("rrf", "max", "union"):
 
 # Graphs over the files.
 
+_FAMILY = " ".join(f"when regexp_matches(path, '[.]({'|'.join(v)})$') then '{k}'" for k, v in graph.FAMILIES.items())
+_IMPORT_LINES = " union all ".join(
+    f"select path as src, family, parts, '{how}' as how, unnest(list_distinct(regexp_extract_all(content, '" + p.replace("'", "''").replace('\\"', '"') + f"', 1))) as name from known where family = '{how.removesuffix('_relative')}'" for how, p in graph.IMPORTS.items()
+)
 EDGES_SQL = r"""
-    with recursive found as (
-        select path as src, unnest(list_concat(regexp_extract_all(content, '(?m)^\s*from\s+\.+(\w+)\s+import', 1), regexp_extract_all(content, '(?m)^\s*import\s+\{[^}]*\}\s+from\s+["'']\./(\w+)["'']', 1),
-            regexp_extract_all(content, '(?m)^\s*#include\s+"(\w+)\.h"', 1), regexp_extract_all(content, '(?m)^\s*import\s+(?:\w+\.)+(\w+);', 1))) as name from code_items),
-    wanted as (select distinct src, lower(replace(name, '_', '')) as module from found),
-    targets as (select path as dst, lower(replace(regexp_replace(split_part(path, '/', -1), '\.[^.]*$', ''), '_', '')) as module from code_items),
-    e as (select *, row_number() over (partition by src order by dst) as rn from (select distinct src, dst from wanted join targets using (module) where src <> dst)),
+    with recursive known as (
+        select path, content, case FAMILY end as family, regexp_replace(path, '\.[^./]*$', '') as stem, case when contains(path, '/') then string_split(regexp_replace(path, '/[^/]*$', ''), '/') else [] end as parts from code_items where contains(path, '.')),
+    lines as (PATTERNS),
+    wanted as (
+        select distinct src, family, unnest(case family when 'python' then [stem, stem || '/__init__'] when 'script' then [stem, stem || '/index'] else [stem] end) as stem from (
+            select src, family, case how
+                when 'python_relative' then concat_ws('/', nullif(array_to_string(parts[1:greatest(len(parts) - (length(name) - length(ltrim(name, '.')) - 1), 0)], '/'), ''), nullif(replace(ltrim(name, '.'), '.', '/'), ''))
+                when 'python' then replace(name, '.', '/')
+                when 'script' then concat_ws('/', nullif(array_to_string(parts[1:greatest(len(parts) - len(regexp_extract_all(name, '\.\./')), 0)], '/'), ''), nullif(regexp_replace(name, '^(?:\.{1,2}/)+', ''), ''))
+                else concat_ws('/', nullif(array_to_string(parts, '/'), ''), regexp_replace(name, '\.[^./]*$', '')) end as stem
+            from lines where how <> 'jvm')),
+    tried as (select src, name, i as pos, array_to_string(p[1:i], '/') as tail from (select src, name, string_split(name, '.') as p, unnest(range(1, len(string_split(name, '.')) + 1)) as i from lines where how = 'jvm') where regexp_matches(p[i], '^[A-Z]')),
+    met as (select tried.*, path as dst, max(pos) over (partition by src, name) as furthest from tried join known on family = 'jvm' and (stem = tail or ends_with(stem, '/' || tail))),
+    e as (select *, row_number() over (partition by src order by dst) as rn from (
+        select src, path as dst from wanted join known using (family, stem) where src <> path union select src, dst from met where pos = furthest and src <> dst)),
     named as (select distinct path as src, unnest(regexp_extract_all(content, '\b([A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+)\b', 1)) as title from code_items),
     y as (select *, row_number() over (partition by src order by dst) as rn from (select distinct src, path as dst from named join code_items using (title) where src <> path)),
     imports as (select src, dst, 'imports' as kind, 0.8::double as weight from e where rn <= 64),
@@ -310,7 +323,7 @@ EDGES_SQL = r"""
     calls as (select src, dst, 'calls' as kind, 0.9::double as weight from (select *, row_number() over (partition by src order by dst) as rn from chosen where src <> dst) where rn <= 20),
     edges as (select * from imports union all select src, dst, 'references' as kind, 0.7::double as weight from y where rn <= 24 union all select * from calls),
     adj as (select src, dst, max(w) as weight from (select src, dst, weight as w from edges union all select dst, src, weight * 0.7::double from edges) group by all)
-"""
+""".replace("FAMILY", _FAMILY).replace("PATTERNS", _IMPORT_LINES)
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:

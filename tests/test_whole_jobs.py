@@ -39,18 +39,18 @@ def test_spans_of_all_requests(spark, tmp_path):
 
 def test_graph_operators_take_all_seeds(spark, tmp_path):
     n = 130
-    hits = [(i, 1, f"s{i:03}", 1, 2, float(n - i)) for i in range(n)]
+    hits = [(i, 1, f"s{i:03}.py", 1, 2, float(n - i)) for i in range(n)]
+    sources = [(i, f"s{i:03}.py", "", f"from .t{i:03} import x", "python") for i in range(n)]
     folder = written(
         spark,
         tmp_path,
         search_items=(hits, HITS),
-        eval_cases=([(i, [f"s{i:03}", f"t{i:03}"]) for i in range(n)], "record_id bigint, expected array<string>"),
-        code_items=([(1, "s000", "S", "", "python")], "item_id bigint, path string, title string, content string, code_language string"),
+        code_items=(sources + [(n + i, f"t{i:03}.py", "", "", "python") for i in range(n)], "item_id bigint, path string, title string, content string, code_language string"),
     )
     reached = lambda name: {r.path for r in ran(spark, name, folder) if r.path.startswith("t")}
-    assert reached("propagate_hops") == {f"t{i:03}" for i in range(120)}
-    assert reached("expand_hops") == {f"t{i:03}" for i in range(n)}
-    assert {(r.path, r.neighbour) for r in ran(spark, "typed_neighbors", folder)} == {(f"s{i:03}", f"t{i:03}") for i in range(n)}
+    assert reached("propagate_hops") == {f"t{i:03}.py" for i in range(120)}
+    assert reached("expand_hops") == {f"t{i:03}.py" for i in range(n)}
+    assert {(r.path, r.neighbour) for r in ran(spark, "typed_neighbors", folder)} == {(f"s{i:03}.py", f"t{i:03}.py") for i in range(n)}
 
 
 def test_rounds_merged_takes_all_requests(spark, tmp_path):

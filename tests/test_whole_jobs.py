@@ -16,7 +16,8 @@ HITS = "hit_id bigint, request_id bigint, path string, start_line int, end_line
 
 def written(spark, folder, **tables):
     for name, (rows, schema) in tables.items():
-        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
+        df = spark.createDataFrame(rows, schema)
+        (df.withColumn("title", F.lit(None).cast("string")) if schema == HITS else df).write.parquet(f"{folder}/{name}.parquet")
     return str(folder)
 
 

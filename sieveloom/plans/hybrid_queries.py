@@ -48,8 +48,8 @@ def candidates(spark: SparkSession, d: str) -> DataFrame:
     by_bm25 = hybrid.scaled_by_best(top, "score", "lexical").join(paths, "item_id")
 
     fields = {c: t.identifier_tokens(F.col(c)) for c in ("content", "title", "path")}
-    shares = lexical.coverage_top(files, "item_id", fields, asked, lexical.lexical_score(F.col("content"), F.col("title")), SOURCE_LIMIT)
-    shares = shares.select("query_id", "item_id", F.col("score").alias("lexical"), F.col("path").alias("path_score"), F.col("title").alias("symbol"))
+    shares = lexical.coverage_top(files, "item_id", fields, asked, SOURCE_LIMIT)
+    shares = shares.select("query_id", "item_id", lexical.lexical_score(F.col("content"), F.col("title")).alias("lexical"), F.col("path").alias("path_score"), F.col("title").alias("symbol"))
     best = ranked(shares, ["query_id"], [F.round("lexical", 6).desc(), F.round("path_score", 6).desc(), F.col("item_id")], SOURCE_LIMIT)
     by_coverage = best.join(paths, "item_id")
 

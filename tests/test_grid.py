@@ -36,7 +36,7 @@ def sql_rows(folder, name, columns):
     return c.execute(f"select {', '.join(columns)} from ({entry.oracle_sql()[name]})").fetchall()
 
 
-@pytest.mark.parametrize("name", ["bm25_alias_locator", "bm25_topk", "bm25_repeated_terms"])
+@pytest.mark.parametrize("name", ["bm25_alias_locator", "bm25_topk", "bm25_repeated_terms", "coverage_seeds"])
 def test_no_pair_is_a_row(spark, folder, name):
     found = entry.queries()[name](spark, folder)
     assert not re.search(r"Aggregate \[query_id#\w+, (item_id|_key|path)#", found._jdf.queryExecution().optimizedPlan().toString())

@@ -107,9 +107,11 @@ def lexical_admission(spark: SparkSession, d: str) -> DataFrame:
     """The best files by BM25 that no request of a query has found."""
     asked = requests(spark, d)
     files = items(spark, d)
-    scored = lexical.bm25(files, "item_id", t.word_tokens(F.col("content")), asked).join(files.select("item_id", "path"), "item_id")
     named = table(spark, d, "search_requests").where("query is not null").select("request_id", "query").distinct().join(asked.select("query", "query_id"), "query")
-    present = table(spark, d, "search_items").select("request_id", "path").join(named, "request_id").select("query_id", "path")
+    present = table(spark, d, "search_items").select("request_id", "path").join(named, "request_id").select("query_id", "path").distinct()
+    # However many of a query's best files are present, as many more are looked at.
+    wanted = asked.join(present.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n")), "query_id", "left").select("query_id", "terms", (F.coalesce("_n", F.lit(0)) + 5).alias("k"))
+    scored = lexical.bm25_top(files, "item_id", t.word_tokens(F.col("content")), wanted, 60, by="path")
     return rounded(answers.admitted(scored.select("query_id", "path", "score"), present, 5))
 
 

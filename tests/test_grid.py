@@ -19,7 +19,7 @@ def folder(spark, tmp_path_factory):
     rng = random.Random(7)
     folder = tmp_path_factory.mktemp("grid")
     text = lambda n: " ".join(rng.choices(WORDS, weights=range(1, len(WORDS) + 1), k=n))
-    files = [(i, f"{rng.choice(WORDS)}/f{i:03}.py", rng.choice([None, "TokenIndex", "MergeCacheRetry"]), text(rng.randrange(12)) or None, "python") for i in range(90)]
+    files = [(i, f"{rng.choice(WORDS)}/f{i:03}.py", rng.choice([None, "TokenIndex", "MergeCacheRetry"]), (text(rng.randrange(12)) + rng.choice(["", "", " TokenIndex"])) or None, "python") for i in range(90)]
     asked = [(i, text(rng.randint(1, 4)), "s") for i in range(40)] + [(40, "", "s"), (41, "nowhere", "s"), (42, None, "s")]
     hits = [(i, rng.randrange(43), f[1], 1, 2, rng.random(), None) for i, f in enumerate(rng.choices(files, k=200))]
     spark.createDataFrame(files, "item_id bigint, path string, title string, content string, code_language string").write.parquet(f"{folder}/code_items.parquet")
@@ -36,10 +36,19 @@ def sql_rows(folder, name, columns):
     return c.execute(f"select {', '.join(columns)} from ({entry.oracle_sql()[name]})").fetchall()
 
 
-@pytest.mark.parametrize("name", ["bm25_alias_locator", "bm25_topk", "bm25_repeated_terms", "coverage_seeds"])
+@pytest.mark.parametrize("name", ["bm25_alias_locator", "bm25_topk", "bm25_repeated_terms", "coverage_seeds", "lexical_admission", "symbol_match", "expand_hops"])
 def test_no_pair_is_a_row(spark, folder, name):
     found = entry.queries()[name](spark, folder)
-    assert not re.search(r"Aggregate \[query_id#\w+, (item_id|_key|path)#", found._jdf.queryExecution().optimizedPlan().toString())
+    column = "path" if name == "expand_hops" else "item_id"
+    assert not re.search(rf"Aggregate \[query_id#\w+, {column}#", found._jdf.queryExecution().optimizedPlan().toString())
+    rows = sorted(map(tuple, found.collect()))
+    assert rows and rows == sorted(sql_rows(folder, name, found.columns))
+
+
+@pytest.mark.parametrize("name", ["hybrid_candidates", "hybrid_rrf", "hybrid_search"])
+def test_symbols_are_compared_after_the_cut(spark, folder, name):
+    found = entry.queries()[name](spark, folder)
+    assert not re.search(r"Aggregate .*count\(1\).* AS symbol_match", found._jdf.queryExecution().optimizedPlan().toString())
     assert sorted(map(tuple, found.collect())) == sorted(sql_rows(folder, name, found.columns))
 
 

@@ -53,18 +53,16 @@ def candidates(spark: SparkSession, d: str) -> DataFrame:
     best = ranked(shares, ["query_id"], [F.round("lexical", 6).desc(), F.round("path_score", 6).desc(), F.col("item_id")], SOURCE_LIMIT)
     by_coverage = best.join(paths, "item_id")
 
-    symbols = files.where("title is not null").select("item_id", "path", F.array_distinct(t.identifier_tokens(F.col("title"))).alias("symbol_terms"))
-    terms = asked.select("query_id", F.size("terms").alias("_size"), F.explode("terms").alias("term"))
-    shared = symbols.select("item_id", "path", F.size("symbol_terms").alias("_own"), F.explode("symbol_terms").alias("term")).join(terms, "term")
-    match = F.least(F.lit(1.0), F.count(F.lit(1)) / F.greatest(F.least(F.first("_own"), F.first("_size")), F.lit(1)))
-    by_symbol = shared.groupBy("query_id", "item_id", "path").agg(match.alias("symbol_match")).where(F.round("symbol_match", 6) >= 0.25)
-
     seeds = by_vector.select("query_id", "path", F.col("vector").alias("score"))
-    reached = graph.propagate(graph.adjacency(edges(spark, d)), seeds)
+    reached = graph.propagate(checkpoint(graph.adjacency(edges(spark, d))), seeds)
     near = ranked(reached, ["query_id"], [F.round("score", 9).desc(), F.col("path")], SOURCE_LIMIT)
     by_graph = near.select("query_id", "path", F.col("score").alias("graph")).join(paths, "path")
 
-    lexically = hybrid.lexical_cut(hybrid.merged(by_bm25, by_coverage, by_symbol), CUT)
+    # Files with a matching symbol alone have nothing that the cut looks at: it drops them, so only those it leaves are compared.
+    lexically = hybrid.lexical_cut(hybrid.merged(by_bm25, by_coverage), CUT).drop("symbol_match")
+    symbols = files.select("item_id", F.array_distinct(t.identifier_tokens(F.col("title"))).alias("symbol_terms"))
+    matched = lexically.join(symbols, "item_id").join(asked.select("query_id", "terms"), "query_id").withColumn("symbol_match", lexical.symbol_match(F.col("symbol_terms"), F.col("terms")))
+    lexically = matched.withColumn("symbol_match", F.when(F.round("symbol_match", 6) >= 0.25, F.col("symbol_match")).otherwise(0.0))
     return hybrid.merged(by_vector, votes, lexically, by_graph)
 
 
